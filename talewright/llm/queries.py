@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, piece_agenda, quality, sharding, simhash, suffix_dedup, url_filter
-from .common import table
+from . import language, packing, piece_agenda, quality, sharding, simhash, suffix_dedup, url_filter, warc_zip
+from .common import cut, table
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -24,6 +24,21 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(docs, shards=24).drop("source")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc_zip.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    sha = F.sha1("payload")
+    records = cut(back.select(F.col("key").cast("long").alias("page_id"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), "header_digest", F.octet_length("payload").cast("long").alias("held"), sha.alias("sha")), "records")
+    # a revisit's size is its response's: what is read of that one counts, not a header
+    full = records.where("record_type = 'response'").groupBy("header_digest").agg(F.max("held").alias("full"), F.max("sha").alias("full_sha"))
+    return records.join(full, "header_digest", "left").select(
+        "page_id",
+        F.coalesce("full", "held").alias("payload_bytes"),
+        warc_zip.base32(F.coalesce("full_sha", "sha")).alias("payload_digest"),
+        "record_type",
+        F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -70,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_sharding": op3_sharding,
         "op4_packing": op4_packing,
+        "op5_warc": op5_warc,
         "op6_url_filter": op6_url_filter,
         "op7_fingerprints": op7_fingerprints,
         "op9_quality": op9_quality,
