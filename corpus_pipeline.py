@@ -1,15 +1,68 @@
-"""The corpus pipeline: its stages are filled in as their operators are built."""
+"""The corpus pipeline: quality rules, language, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talewright.llm import language, order_minhash, packing, quality, suffix_dedup
+from talewright.llm.common import cut, quoted, table
+
+
+def _with_text(done: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of docs, with another text and its number of characters."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return done.select(*[new.get(c, quoted(c)).alias(c) for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go; so do documents that fail the base rules or lose too much text."""
+    return _with_text(quality.clean(docs).where("kept"), docs, F.col("clean_text"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or too far from every language's centroids, go."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs, model).where(~F.col("rejected")).select(*[quoted(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the least doc_id."""
+    return order_minhash.deduplicated(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur twice or more are cut out (whole characters only); documents stay, if empty."""
+    done = suffix_dedup.remove_repeats(docs, whole_characters=True)
+    return _with_text(done, docs, F.col("kept").cast("string"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Language vectors, sketches, suffixes and tokens have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, f"stage-{k}")
     return docs

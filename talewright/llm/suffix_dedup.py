@@ -313,8 +313,20 @@ def find_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> Da
     return spans
 
 
-def remove_repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """df's columns but the text, with n_bytes, spans (array of start and stop, maximal removed runs) and kept (the other bytes)."""
+def _narrowed(raw: bytes, start: int, stop: int) -> list[int]:
+    """The span without parts of characters at its ends."""
+    while start < stop and raw[start] & 0xC0 == 0x80:
+        start += 1
+    while stop > start and stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return [start, stop]
+
+
+def remove_repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
+    """df's columns but the text, with n_bytes, spans (array of start and stop, maximal removed runs) and kept (the other bytes).
+
+    whole_characters: spans are narrowed to whole UTF-8 characters, so that what is kept is text.
+    """
     names = without(df.drop(text_col), *RESULT).columns
     docs = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], row_key(quoted(id_col), text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
     spans = find_repeats(docs, length=length, hot=hot)
@@ -336,6 +348,8 @@ def remove_repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_
                         merged[-1][1] = max(merged[-1][1], f[1])
                     else:
                         merged.append([*f])
+                if whole_characters:
+                    merged = [m for m in (_narrowed(raw, *m) for m in merged) if m[0] < m[1]]
                 cuts = [0, *[x for m in merged for x in m], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
                 sizes.append(len(raw))
