@@ -118,4 +118,6 @@ def clean(df: DataFrame, *, text_col: str = "text", max_lost: float = MAX_LOST)
         .withColumn("lost", F.when(F.col("__sums.all") > 0, F.col("__sums.bad") / F.col("__sums.all")).otherwise(0.0))
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost))
     )
-    return out.select(*[quoted(c) for c in names], *RESULT)
+    # one row each, through a generator: a filter on its columns isn't pushed into the projections before, where every
+    # level of them would be written out again
+    return out.select(*[quoted(c) for c in names], F.inline(F.array(F.struct(*RESULT))))
