@@ -17,6 +17,7 @@ fine. An empty table has no pieces. Columns named like a result column are repla
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,9 @@ from .sharding import _ranked
 
 CAPACITY = 4096
 END_ID = 1
-KEEP_CHUNKS = 300_000
+#: Chunks and parts kept in each of two generations.
+KEEP_CHUNKS = 150_000
+KEEP_PARTS = 400_000
 RESULT = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -96,29 +99,64 @@ def _places(fillings: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarr
     return columns[0], columns[1], columns[2], columns[3]
 
 
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Chunks of these signs alone are letters and marks by turns, which the vocabulary keeps apart; their lower case is sign by sign.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?]+")
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]+")
 
 
-def chunk_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids (unsigned 32-bit, little-endian) of each text without special tokens.
+class _Chunks:
+    """Ids, as bytes, of the chunks of texts, in two generations; the library encodes what is new."""
 
-    The vocabulary's tokens never hold a blank or line end, and what it does to a text before stops
-    there too, so texts are cut there and the library encodes each chunk once.
-    """
-    if path not in _tokenizers:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {"": b""}
-    tokenizer, known = _tokenizers[path]
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(known) > KEEP_CHUNKS:
-        known.clear()
-        known[""] = b""
-    new = list({c for chunks in split for c in chunks if c not in known})
-    for chunk, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-        known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.new) > KEEP_CHUNKS:
+            self.old, self.new = self.new, {}
+        if len(self.parts) > KEEP_PARTS:
+            self.old_parts, self.parts = self.parts, {}
+        new, old, parts = self.new, self.old, self.parts
+        rows = [t.replace("\n", " ").split(" ") for t in texts]
+        missing = list({c for row in rows for c in row if c not in new})
+        for c in missing:
+            if c in old:
+                new[c] = old[c]
+        missing = [c for c in missing if c not in new]
+        plain = {c: [p.lower() for p in _PARTS.findall(c)] for c in missing if _PLAIN.fullmatch(c)}
+        unknown = list({p for split in plain.values() for p in split if p not in parts})
+        known = self.old_parts
+        parts.update((p, known[p]) for p in unknown if p in known)
+        unknown = [p for p in unknown if p not in parts]
+        parts.update(zip(unknown, self._encode(unknown)))
+        for c, split in plain.items():
+            new[c] = b"".join(map(parts.__getitem__, split))
+        odd = [c for c in missing if c not in plain]
+        new.update(zip(odd, self._encode(odd)))
+        return [b"".join(map(new.__getitem__, row)) for row in rows]
+
+
+_loaded: dict[str, _Chunks] = {}
+
+
+def chunk_ids(path: str, texts: list[str]) -> list[bytes]:
+    """Ids (unsigned 32-bit, little-endian) of each text without special tokens.
+
+    The vocabulary's tokens never hold a blank or line end, and what it does to a text before stops there too, so
+    texts are cut there, and the library encodes each chunk once, plain ones by their parts.
+    """
+    if path not in _loaded:
+        _loaded[path] = _Chunks(path)
+    return _loaded[path].encode(texts)
 
 
 def tokenize(df: DataFrame, *, text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
