@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import canonical
+from .plans import canonical, lookups, records
 
-MODULES = (canonical,)
+MODULES = (canonical, records, lookups)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
