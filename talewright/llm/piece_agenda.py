@@ -24,11 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import tokenizer_path, with_arrow
+from .merge_table import MergeTable
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEEP_SEGMENTS = 300_000
+#: Segments kept in each of two generations, and their longest.
+KEEP_SEGMENTS = 200_000
 KEEP_LENGTH = 48
+#: Segments up to this long share a matrix agenda.
+SHORT = 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -87,6 +91,8 @@ class Pieces:
             raise ValueError(f"{path}: only identity normalisation without user-defined or unused pieces is built")
         self.prefix = bool(normalizer.get(3, 1))
         self.score = {p: (s, i) for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types)) if t == NORMAL}
+        self.id = {p: i for p, (_, i) in self.score.items()}
+        self._build_table()
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = [0] * 256
         for i, (p, t) in enumerate(zip(self.pieces, self.types)):
@@ -98,6 +104,24 @@ class Pieces:
         self.is_byte = np.array([t == BYTE for t in self.types])
         self.byte_of = {i: b for b, i in enumerate(self.bytes)} if self.fallback else {}
 
+    def _build_table(self) -> None:
+        """The matrix agenda's symbols and pairs: a sign that is no piece has its code above the pieces."""
+        n = len(self.pieces)
+        self.symbol = np.arange(0x110000, dtype=np.int64) + n
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        # pieces of equal score share a rank, so that the leftmost pair goes first
+        ranks = {s: k for k, s in enumerate(sorted({s for s, _ in self.score.values()}, reverse=True))}
+        part = lambda x: self.id.get(x, ord(x) + n if len(x) == 1 else None)
+        pairs = {}
+        for p, (s, i) in self.score.items():
+            for k in range(1, len(p)):
+                a, b = part(p[:k]), part(p[k:])
+                if a is not None and b is not None:
+                    pairs[a, b] = ranks[s], i
+        self.table = MergeTable(pairs)
+
     def segments(self, text: str) -> list[str]:
         """The text with blanks as signs, cut where no merge can cross."""
         if not text:
@@ -106,7 +130,27 @@ class Pieces:
         return [marked] if self.crossing else re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", marked)
 
     def merge(self, segment: str) -> list[int]:
-        """Ids of one segment, by the agenda."""
+        """Ids of one segment, by an agenda in a heap."""
+        return self._ids(self._merged(segment))
+
+    def merge_many(self, segments: list[str]) -> list[list[int]]:
+        """Ids of many segments: the short ones go through the agenda together, as a matrix."""
+        out: list = [None] * len(segments)
+        short = [i for i, s in enumerate(segments) if len(s) <= SHORT]
+        for i in set(range(len(segments))) - set(short):
+            out[i] = self.merge(segments[i])
+        if short:
+            codes = np.frombuffer("".join(segments[i] for i in short).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            symbols, lengths = self.table.merge(self.symbol[codes], np.array([len(segments[i]) for i in short]))
+            listed = symbols.tolist()
+            ends = np.cumsum(lengths).tolist()
+            unsure = np.add.reduceat(symbols >= len(self.pieces), np.array([0, *ends[:-1]]))
+            for i, a, b, strange in zip(short, [0, *ends], ends, unsure):
+                ids = listed[a:b]
+                out[i] = self._ids([self.pieces[x] if x < len(self.pieces) else chr(x - len(self.pieces)) for x in ids]) if strange else ids
+        return out
+
+    def _merged(self, segment: str) -> list[str]:
         symbols: list[str] = list(segment)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -131,13 +175,14 @@ class Pieces:
                 before[after[right]] = left
             consider(before[left], left)
             consider(left, after[left])
+        return [s for s in symbols if s]
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         ids: list[int] = []
         for s in symbols:
-            if not s:
-                continue
-            known = score.get(s)
+            known = self.id.get(s)
             if known is not None:
-                ids.append(known[1])
+                ids.append(known)
             elif self.fallback:
                 ids.extend(self.bytes[b] for b in s.encode())
             elif not ids or ids[-1] != self.unknown:
@@ -191,21 +236,34 @@ def _utf8(run: bytearray) -> str:
         return "".join(out)
 
 
-class _Segments(dict):
-    """Segment to its ids as bytes; `fresh` holds those that the library hasn't checked yet."""
+class _Segments:
+    """Segments' ids as bytes, in two generations; `fresh` holds those that the library hasn't checked yet."""
 
     def __init__(self, vocabulary: Pieces, check: bool):
         self.vocabulary, self.check, self.fresh = vocabulary, check, {}
-
-    def __missing__(self, segment: str) -> bytes:
-        ids = np.array(self.vocabulary.merge(segment), dtype="<i4").tobytes()
-        if self.check and self.vocabulary.prefix and len(segment) > 1 and segment[0] == BLANK:
-            self.fresh[segment] = ids
-        if len(segment) <= KEEP_LENGTH:
-            if len(self) >= KEEP_SEGMENTS:
-                self.clear()
-            self[segment] = ids
-        return ids
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, rows: list[list[str]]) -> list[bytes]:
+        if len(self.new) > KEEP_SEGMENTS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = list({s for row in rows for s in row if s not in new})
+        for s in missing:
+            if s in old:
+                new[s] = old[s]
+        missing = [s for s in missing if s not in new]
+        long: list[str] = []
+        for s, ids in zip(missing, self.vocabulary.merge_many(missing)):
+            raw = new[s] = np.array(ids, dtype="<i4").tobytes()
+            if self.check and self.vocabulary.prefix and len(s) > 1 and s[0] == BLANK:
+                self.fresh[s] = raw
+            if len(s) > KEEP_LENGTH:
+                long.append(s)
+        out = [b"".join(map(new.__getitem__, row)) for row in rows]
+        for s in long:
+            del new[s]
+        return out
 
 
 _loaded: dict[tuple[str, bool], tuple[Pieces, _Segments, object]] = {}
@@ -237,8 +295,7 @@ def encode_decode(df: DataFrame, *, text_col: str = "text", model: str | None =
 
     def work(texts: pa.Array) -> list[pa.Array]:
         vocabulary, segments, library = _load(path, check)
-        look = segments.__getitem__
-        rows = [b"".join(map(look, vocabulary.segments(t))) for t in texts.to_pylist()]
+        rows = segments.encode([vocabulary.segments(t) for t in texts.to_pylist()])
         if check:
             _verify(segments, library)
         ids = np.frombuffer(b"".join(rows), dtype="<i4")
