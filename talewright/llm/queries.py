@@ -98,5 +98,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+OP6_SQL = f"""
+  WITH rules(h, p, v) AS (VALUES {_RULES}),
+  rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+  parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*(/[^?#]*)', 1) AS path FROM rest),
+  hits AS (SELECT page_id, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(v, length(h) + length(p)) AS verdict
+    FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+  SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN hits USING (page_id)"""
+
+_BOILERPLATE = quality.BOILERPLATE.replace("'", "''")
+OP9_SQL = rf"""
+  WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS trims,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+  windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(words) - 3)) AS u(i)),
+  again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+  covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM again, unnest(range(i, i + 5)) AS u(j) GROUP BY doc_id),
+  judged AS (SELECT doc_id, length(x) AS size, x <> '' AND (NOT contains('{quality.ENDS.replace("'", "''")}', right(x, 1)) OR (upper(x) = x AND lower(x) <> x AND length(x) >= 10)
+      OR len(regexp_extract_all(x, '[#*$%&|<>=_~^]')) * 10 > length(x)
+      OR (regexp_matches(t, '[0-9]{{3}}') AND len(regexp_extract_all(x, '\p{{L}}')) * 2 < length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')))
+      OR regexp_matches(x, '{quality.NAVIGATION}') OR regexp_matches(lower(x), '{_BOILERPLATE}')) AS fails FROM w, unnest(trims) AS u(x)),
+  lost AS (SELECT doc_id, coalesce(sum(size) FILTER (fails), 0) / nullif(sum(size), 0) AS share FROM judged GROUP BY doc_id),
+  base AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[{quality.SYMBOLS}]'))::BIGINT AS n_symbols,
+      (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id))
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (SELECT coalesce(share, 0) <= {quality.MAX_LOST} FROM lost WHERE lost.doc_id = base.doc_id) AS kept FROM base"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL, "op9_quality": OP9_SQL}

@@ -150,7 +150,7 @@ def near(prints: DataFrame, *, radius: int = 3, bits: int = BITS, blocks: int |
     keys = F.array(*[F.concat_ws("|", F.lit(str(n)), *[F.substring("fingerprint", cuts[k] + 1, cuts[k + 1] - cuts[k]) for k in c]) for n, c in enumerate(choices)])
     table = own.select("fingerprint", F.explode(keys).alias("key"))
     left = table.select(F.col("fingerprint").alias("a"), "key", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)).alias("salt"))
-    right = table.select(F.col("fingerprint").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
+    right = table.select(F.col("fingerprint").alias("b"), "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     pieces = [(F.conv(F.substring("a", k + 1, 8), 16, 10).cast("long"), F.conv(F.substring("b", k + 1, 8), 16, 10).cast("long")) for k in range(0, digits, 8)]
     distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in pieces), F.lit(0))
     return left.join(right, ["key", "salt"]).where(F.col("a") < F.col("b")).select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
