@@ -16,6 +16,7 @@ fine. An empty table has no pieces. Columns named like a result column are repla
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -102,6 +103,15 @@ def _places(fillings: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarr
 #: Chunks of these signs alone are letters and marks by turns, which the vocabulary keeps apart; their lower case is sign by sign.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?]+")
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]+")
+#: What a vocabulary must do to texts first for the way by chunks to hold; others encode whole texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class _Chunks:
@@ -109,18 +119,27 @@ class _Chunks:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            settings = json.load(f)
+        self.known = settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _PRE_TOKENIZER
+        # for parts that are lower case and whole words already
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], tokenizer: object) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.known:
+            return self._encode(texts, self.tokenizer)
         if len(self.new) > KEEP_CHUNKS:
             self.old, self.new = self.new, {}
         if len(self.parts) > KEEP_PARTS:
@@ -137,11 +156,11 @@ class _Chunks:
         known = self.old_parts
         parts.update((p, known[p]) for p in unknown if p in known)
         unknown = [p for p in unknown if p not in parts]
-        parts.update(zip(unknown, self._encode(unknown)))
+        parts.update(zip(unknown, self._encode(unknown, self.bare)))
         for c, split in plain.items():
             new[c] = b"".join(map(parts.__getitem__, split))
         odd = [c for c in missing if c not in plain]
-        new.update(zip(odd, self._encode(odd)))
+        new.update(zip(odd, self._encode(odd, self.tokenizer)))
         return [b"".join(map(new.__getitem__, row)) for row in rows]
 
 
