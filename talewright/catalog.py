@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import canonical, lookups, records
+from .plans import canonical, content, lookups, records
 
-MODULES = (canonical, records, lookups)
+MODULES = (canonical, records, lookups, content)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
