@@ -10,7 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from .functions.ids import id_of, make_id
 from .functions.parts import searchable
-from .operators import classify, export, ledger, search, validate
+from .operators import classify, export, export_records, ledger, report, search, validate
 from .sources import ingest
 
 TABLES = ("events", "observations", "conflicts", "outcomes", "sources")
@@ -74,6 +74,14 @@ class Archive:
         ordered = export.chronological(e.withColumn("shard_ord", F.struct("import_run", "source_id", "place")), harness=harness)
         return export.hidden(ordered.withColumn("text", searchable(F.col("content")))) if harness else ordered
 
+    def records(self) -> DataFrame:
+        """The full export's lines, in order."""
+        refs = export_records.source_refs(self.need("observations"), self.sources())
+        return export_records.records(self.export(), self.conversations(), refs)
+
+    def reports(self) -> dict[str, str]:
+        return report.reports(self.need("events"), self.need("observations"), self.need("conflicts"), self.need("outcomes"), self.sources())
+
     def postings(self) -> DataFrame:
         return search.postings(self.need("events").dropDuplicates(["event_id"]).select("event_id", searchable(F.col("content")).alias("text")))
 

@@ -54,13 +54,17 @@ def main(argv: list[str] | None = None) -> int:
             show(archive.import_(a.paths, resume=a.resume, dry_run=a.dry_run, keep_secrets=a.secret_policy == "preserve"))
             return 0 if a.dry_run else int(archive.validate().where("not passed").count() > 0)
         if a.command == "all":
-            files.write_shards(archive.export(harness=a.harness).coalesce(1), a.output).collect()
+            files.write_shards(archive.export(harness=True) if a.harness else archive.records(), a.output).collect()
             return 0
         if a.command == "validate":
             checks = archive.validate()
             show(checks)
             return int(checks.where("not passed").count() > 0)
-        show({"stats": archive.stats, "report": archive.sources}[a.command]() if a.command in ("stats", "report") else archive.search(a.query, a.limit) if a.command == "search" else archive.provenance(a.event_id) if a.command == "provenance" else archive.inspect_event(a.event_id))
+        if a.command == "report":
+            for name, text in archive.reports().items():
+                files.write_atomic(f"{a.archive}/reports/{name}", text.encode())
+            return 0
+        show(archive.stats() if a.command == "stats" else archive.search(a.query, a.limit) if a.command == "search" else archive.provenance(a.event_id) if a.command == "provenance" else archive.inspect_event(a.event_id))
         return 0
     except (OSError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ def write_atomic(path: str | Path, data: bytes) -> None:
 def write_shards(df: DataFrame, folder: str, *, level: int = 9) -> DataFrame:
     """df as .jsonl.zst shards with sorted keys, one for each partition; gives (path, records, sha256).
 
-    Shards are named for their content, so a repeated task writes the same file again.
+    Shards are named for their partition and content: names keep a sorted frame's order, and a repeated task writes the same
+    file again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +60,7 @@ def write_shards(df: DataFrame, folder: str, *, level: int = 9) -> DataFrame:
         if count:
             data = out.getvalue()
             sha = hashlib.sha256(data).hexdigest()
-            path = f"{folder}/part-{sha[:16]}.jsonl.zst"
+            path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{sha[:16]}.jsonl.zst"
             write_atomic(path, data)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([sha])], names=["path", "records", "sha256"])
 

@@ -214,6 +214,9 @@ def test_import(spark, tmp_path):
     assert archive.need("conflicts").count() == 1 and archive.need("events").where("variant_of is not null").count() == 1
     order = archive.export().where("variant_of is null and provider = 'anthropic'").collect()
     assert [r.seq for r in order] == list(range(15))
+    lines_ = archive.records().collect()
+    assert len(lines_) == 17 and lines_[0].conversation.event_count == 16 and len(lines_[0].source_refs) == 2 and json.loads(lines_[0].content)[0]["type"] == "text"
+    assert set(archive.reports()) >= {"coverage.md", "errors.md"} and "claude_code" in archive.reports()["coverage.md"]
     assert archive.search("say 14").count() == 1 and archive.provenance(order[0].event_id).count() == 2
 
 
@@ -262,3 +265,17 @@ def test_cli(tmp_path, capsys):
     assert cli.main(["discover", str(tmp_path)]) == 0 and "claude_code" in capsys.readouterr().out
     assert cli.main(["parsers"]) == 0 and cli.main(["inspect", str(tmp_path / "none")]) == 2
     assert cli.main(["pack", str(tmp_path), str(tmp_path.parent / f"{tmp_path.name}.pack")]) == 0
+
+
+def test_local_stores(tmp_path):
+    from talewright.sources import local_stores as L
+
+    home = tmp_path / "home"
+    for p in (".claude/projects/p/s.jsonl", ".claude/projects/p/x.txt", ".hermes/state.db", ".hermes/state.db-wal", ".hermes/other.db", ".codex/sessions/2026/r.jsonl", ".config/Claude/db/CURRENT", ".config/Claude/db/MANIFEST-1", ".config/Claude/db/1.ldb"):
+        (home / p).parent.mkdir(parents=True, exist_ok=True)
+        (home / p).write_bytes(b"see https://claude.ai here")
+    got = sorted((a, p[len(str(home)) + 1 :]) for a, p in L.candidates({"HOME": str(home)}, windows=False))
+    assert got == [("claude-code", ".claude/projects/p/s.jsonl"), ("codex", ".codex/sessions/2026/r.jsonl"), ("hermes", ".hermes/state.db"), ("hermes", ".hermes/state.db-wal")]
+    db = str(home / ".config/Claude/db")
+    assert L.is_leveldb(db) and L.leveldb_inventory(db)["origins"] == ["https://claude.ai"]
+    assert L.glob_matches("a/**/*.json", "a/x/y.json") and L.glob_matches("a/**/*.json", "a/y.json") and not L.glob_matches("a/*.json", "a/x/y.json")
