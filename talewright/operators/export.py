@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import confidence_rank
+from ..lineage import cut
 
 MAX_ANCESTORS = 21
 
@@ -29,7 +30,7 @@ def anchored(events: DataFrame, *, id_col: str = "event_id", parent_col: str = "
     Ancestors are followed by pointer doubling: after each round a row knows its nearest timed ancestor within twice the
     distance, or where to go on. Only the untimed rows take part, and cycles end with the distance.
     """
-    events = events.withColumn("__own", F.col(ts_col).isNotNull())
+    events = cut(events.withColumn("__own", F.col(ts_col).isNotNull()), "events")
     # per row: the nearest timed ancestor-or-self found within `reach` steps, its distance, and the row after them
     state = events.select(
         F.col(id_col).alias("id"),
@@ -48,6 +49,7 @@ def anchored(events: DataFrame, *, id_col: str = "event_id", parent_col: str = "
             F.when(F.col("hit").isNull() & F.col("o_hit").isNull(), F.col("o_next")).alias("next"),
             (F.col("step") + F.coalesce("o_step", F.lit(0))).alias("step"),
         )
+        state = cut(state, "anchors")  # each round uses the last one twice
         reach *= 2
     found = state.where((F.col("far") > 0) & (F.col("far") <= depth)).select(F.col("id").alias(id_col), "hit")
     out = events.join(found, id_col, "left")
