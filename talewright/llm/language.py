@@ -30,6 +30,8 @@ from .common import quoted, slices, text_of, with_arrow
 SIZE = 4096
 SAMPLE_ROWS = 4000
 CLUSTERS = 4
+#: A text is rejected below this share of the cosine that all but a thousandth of the sample reach: very short texts stay.
+MARGIN = 0.5
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
@@ -142,7 +144,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             owner += [i] * len(c)
     if not centroids:
         return Model([], np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64), idf, 0.0)
-    least = float(np.quantile(np.concatenate(near), 0.001)) * 0.7
+    least = float(np.quantile(np.concatenate(near), 0.001)) * MARGIN
     return Model(languages, np.vstack(centroids), np.array(owner), idf, least)
 
 
