@@ -14,7 +14,7 @@ PART = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("type", "text", "visibility", "id", "name", "arguments_json", "tool_call_id", "output_json", "artifact", "mime", "filename", "source_ref", "path", "value_json", "kind", "note", "raw_json")]
     + [T.StructField("is_error", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("truncation", TRUNCATION)]
 )
-EVENT_TYPES = ("message", "reasoning", "tool_call", "tool_result", "compaction", "system_note", "attachment", "agent_spawn", "agent_result", "interruption", "error", "opaque", "control")
+EVENT_TYPES = tuple("message reasoning tool_call tool_result compaction system_note attachment agent_spawn agent_result interruption error opaque control".split())
 
 
 def utf8_prefix(text: Column, most: int) -> Column:

@@ -58,7 +58,7 @@ def to_rfc3339(nanos: Column, *, fixed: bool = False) -> Column:
     return F.concat(head, tail if fixed else F.when(rest == 0, "").otherwise(tail), F.lit("Z"))
 
 
-CONFIDENCE = ("exact", "provider_derived", "database_derived", "filesystem_derived", "sequence_only", "unknown")
+CONFIDENCE = tuple("exact provider_derived database_derived filesystem_derived sequence_only unknown".split())
 
 
 def confidence_rank(confidence: Column) -> Column:

@@ -87,7 +87,7 @@ def records(ordered: DataFrame, conversation: DataFrame, refs: DataFrame) -> Dat
     return out.select(
         F.lit("talewright.all/v1").alias("schema"), "event_id", "conversation_id", "session_id", "seq", "parent_event_id",
         to_rfc3339(F.col("ts_ns"), fixed=True).alias("timestamp"), "timestamp_original", folded_confidence(detail).alias("timestamp_confidence"), detail.alias("timestamp_confidence_detail"),
-        "role", "event_type", "provider", "application", "model", "agent", subagent(F.col("metadata")).alias("subagent"), F.col("cwd").alias("working_directory"), "branch", "conversation",
+        *"event_type role application provider agent model".split(), subagent(F.col("metadata")).alias("subagent"), F.col("cwd").alias("working_directory"), "branch", "conversation",
         blocks(F.col("content")).alias("content"), "metadata", "source_refs", *ORDER[:4],
     ).orderBy(*ORDER).drop(*ORDER[:4])
 
@@ -101,4 +101,4 @@ def harness_conversations(events: DataFrame, conversation: DataFrame) -> DataFra
 def export_stats(ordered: DataFrame) -> DataFrame:
     """One row: events, those without a time, and a count by folded confidence."""
     conf = folded_confidence(F.col("timestamp_confidence"))
-    return ordered.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("ts_ns").isNull()).alias("null_timestamps"), *[F.count_if(conf == n).alias(n.replace("-", "_")) for n in ("exact", "derived", "sequence-only", "unknown")])
+    return ordered.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("ts_ns").isNull()).alias("null_timestamps"), *[F.count_if(conf == n).alias(n.replace("-", "_")) for n in "derived exact unknown sequence-only".split()])

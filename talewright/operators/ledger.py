@@ -31,7 +31,7 @@ def sources(runs: DataFrame, *, order: str = "run_ord", counters: tuple[str, ...
 
 def conversations(events: DataFrame, *, order: str = "seq") -> DataFrame:
     """conversation_id with the first known title, model, agent, machine, project, repository and directory, the span of times and the number of events."""
-    known = [c for c in ("title", "model", "agent", "machine_id", "project_id", "repository_id", "working_directory") if c in events.columns]
+    known = [c for c in "agent model title working_directory repository_id project_id machine_id".split() if c in events.columns]
     return events.groupBy("conversation_id").agg(
         *[first_known(c, order).alias(c) for c in known],
         F.min("ts_ns").alias("started_ns"),

@@ -66,7 +66,7 @@ def time_of(value: Any) -> tuple[int | None, str | None, str]:
     return ns, text, "database_derived" if ns is not None else "unknown"
 
 
-# parts --------------------------------------------------------------------------------------------
+# parts
 
 
 def text(value: str) -> dict:

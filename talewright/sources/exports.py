@@ -24,7 +24,7 @@ def _listed(raw: bytes) -> Iterator[tuple[int, Any, str | None]]:
         yield 0, None, f"invalid JSON: {e}"
 
 
-# chatgpt_export ---------------------------------------------------------------------------------
+# chatgpt_export
 
 
 def chatgpt(path: str, raw: bytes) -> Iterator[dict]:
@@ -76,7 +76,7 @@ def chatgpt(path: str, raw: bytes) -> Iterator[dict]:
             n += 1
 
 
-# claude_web_export, claude_design_export --------------------------------------------------------
+# claude_web_export, claude_design_export
 
 _ZERO = "00000000-0000-4000-8000-000000000000"
 
@@ -168,7 +168,7 @@ def perplexity(path: str, raw: bytes) -> Iterator[dict]:
             n += 1
 
 
-# gemini_takeout ---------------------------------------------------------------------------------
+# gemini_takeout
 
 
 class _Markdown(HTMLParser):
@@ -296,7 +296,7 @@ def _turns(path: str, c: dict) -> Iterator[dict]:
     seen: dict[tuple, int] = {}
     last = None
     for n, t in enumerate(c.get("conversation_turns") or []):
-        user, system = t.get("user_turn"), t.get("system_turn")
+        user, system = (t.get(f"{who}_turn") for who in ("user", "system"))
         own = user or system
         if not isinstance(own, dict):
             yield D.failed(n, "no turn")

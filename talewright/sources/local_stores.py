@@ -21,21 +21,22 @@ class Store:
 
 
 _LINES = ("**/*.jsonl",)
+_OPENCODE = tuple("storage/**/*.json *.db".split())
 STORES: tuple[Store, ...] = (
     Store("claude-code", "home", ".claude/projects", wanted=_LINES),
     Store("claude-code", "config", "claude/projects", ("posix",), _LINES),
     Store("codex", "home", ".codex/sessions", wanted=_LINES),
     Store("codex", "home", ".codex/archived_sessions", wanted=_LINES),
-    Store("opencode", "data", "opencode", ("posix",), ("*.db", "storage/**/*.json")),
-    Store("opencode", "home", ".local/share/opencode", ("windows",), ("*.db", "storage/**/*.json")),
+    Store("opencode", "data", "opencode", ("posix",), _OPENCODE),
+    Store("opencode", "home", ".local/share/opencode", ("windows",), _OPENCODE),
     Store("pi", "home", ".pi/agent/sessions", wanted=_LINES),
     Store("omp", "home", ".omp/agent/sessions", wanted=_LINES),
-    Store("hermes", "home", ".hermes", wanted=tuple(p + s for p in ("", "profiles/*/") for s in ("state.db", "sessions/session_*.json", "sessions/*.jsonl"))),
+    Store("hermes", "home", ".hermes", wanted=tuple(p + s for s in "sessions/*.jsonl state.db sessions/session_*.json".split() for p in ("profiles/*/", ""))),
     Store("antigravity", "home", ".gemini/antigravity", wanted=()),
     Store("antigravity", "home", ".gemini/antigravity-cli", wanted=("brain/*/.system_generated/logs/transcript_full.jsonl",)),
-    Store("gemini", "home", ".gemini/tmp", wanted=("*/chats/session-*.jsonl", "*/chats/session-*.json", "*/.project_root")),
-    Store("minimax", "home", ".minimax", wanted=("v2/sessions/**/messages.jsonl", "v2/sessions/**/snapshots/g*--ctx_*.jsonl")),
-    Store("deepseek", "home", ".dsh", wanted=("sessions/*/*/session.v4.jsonl.zstd", "sessions/*/*/session.v4.jsonl")),
+    Store("gemini", "home", ".gemini/tmp", wanted=("*/.project_root", *(f"*/chats/session-*.{e}" for e in ("json", "jsonl")))),
+    Store("minimax", "home", ".minimax", wanted=tuple(f"v2/sessions/**/{n}.jsonl" for n in ("g*--ctx_*", "messages"))),
+    Store("deepseek", "home", ".dsh", wanted=tuple("sessions/*/*/session.v4.jsonl" + e for e in ("", ".zstd"))),
     Store("claude-desktop", "config", "Claude"),
     Store("chatgpt-desktop", "config", "ChatGPT"),
     Store("cursor", "config", "Cursor/User/workspaceStorage"),

@@ -23,9 +23,9 @@ def _blocks(content: Any, convert: Any) -> list[dict]:
     return [convert(b) if isinstance(b, dict) else D.opaque("block", b) for b in content or []] if isinstance(content, list) else []
 
 
-# claude_code ------------------------------------------------------------------------------------
+# claude_code
 
-_NOISE = {"file-history-snapshot", "file-history-delta", "progress", "queue-operation", "last-prompt", "permission-mode", "mode", "atis-latch", "bridge-session", "cost-state"}
+_NOISE = set("mode progress cost-state atis-latch last-prompt permission-mode queue-operation bridge-session file-history-delta file-history-snapshot".split())
 
 
 def _claude_block(b: dict) -> dict:
@@ -90,7 +90,7 @@ def claude_code(path: str, raw: bytes) -> Iterator[dict]:
             yield D.event(n, "other", "opaque", [D.opaque(kind, v)], **base)
 
 
-# codex ------------------------------------------------------------------------------------------
+# codex
 
 
 def _codex_block(b: dict) -> dict:
@@ -184,7 +184,7 @@ def codex(path: str, raw: bytes) -> Iterator[dict]:
             yield D.failed(n, "no type")
 
 
-# pi and its forks -------------------------------------------------------------------------------
+# pi and its forks
 
 
 def _pi_block(b: dict) -> dict:
@@ -262,7 +262,7 @@ def minimax(path: str, raw: bytes) -> Iterator[dict]:
         yield _pi_message(n, message, {"native_id": v.get("id"), "parent": v.get("parentId"), "time": v.get("timestamp") or message.get("timestamp"), "conversation": session, "session": session})
 
 
-# gemini_cli -------------------------------------------------------------------------------------
+# gemini_cli
 
 
 def gemini_cli(path: str, raw: bytes) -> Iterator[dict]:
@@ -312,7 +312,7 @@ def gemini_cli(path: str, raw: bytes) -> Iterator[dict]:
     yield from bad
 
 
-# antigravity, deepseek --------------------------------------------------------------------------
+# antigravity, deepseek
 
 
 def antigravity(path: str, raw: bytes) -> Iterator[dict]:
@@ -367,7 +367,7 @@ def deepseek(path: str, raw: bytes) -> Iterator[dict]:
         yield D.event(n, role, "tool_result" if role == "tool" else D.kind_of(parts), parts, native_id=message.get("id") or v.get("id") or (f"seq-{v['seq']}" if "seq" in v else None), time=v.get("timestamp") or message.get("timestamp"), conversation=session, session=session, cwd=cwd, model=message.get("model"))
 
 
-# generic ----------------------------------------------------------------------------------------
+# generic
 
 
 def _generic(n: int, v: Any, path: str) -> dict:

@@ -51,7 +51,7 @@ class Database:
         self.folder.cleanup()
 
 
-# opencode ---------------------------------------------------------------------------------------
+# opencode
 
 
 def _opencode_message(n: int, session: dict, info: dict, parts: list[dict]) -> Iterator[dict]:
@@ -130,7 +130,7 @@ def opencode(path: str, raw: bytes) -> Iterator[dict]:
         yield from _opencode_message(n, about, m["info"], [p for p in m.get("parts") or [] if isinstance(p, dict)])
 
 
-# hermes -----------------------------------------------------------------------------------------
+# hermes
 
 
 def _tool_error(output: Any) -> bool:
