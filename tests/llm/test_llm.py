@@ -56,7 +56,7 @@ def clashing(df, *names):
     return df
 
 
-# 1 ---------------------------------------------------------------------------------------------
+# 1
 
 
 def test_pieces_equal_the_library(spark, cases, docs):
@@ -92,7 +92,7 @@ def test_merge_table_on_words_of_one_sign():
     assert symbols.tolist() == [4, 5, 3] and lengths.tolist() == [1, 1, 1]
 
 
-# 2 ---------------------------------------------------------------------------------------------
+# 2
 
 
 def removed_by_force(texts, length):
@@ -136,7 +136,7 @@ def test_whole_characters(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-# 3 ---------------------------------------------------------------------------------------------
+# 3
 
 
 @pytest.mark.parametrize("bucket_rows", [200_000, 7])
@@ -160,7 +160,7 @@ def test_shards(spark, cases, bucket_rows):
     assert len(few) == len(CASES) and {r.slot for r in few} == {0} and sharding.interleave(cases.limit(0)).count() == 0
 
 
-# 4 ---------------------------------------------------------------------------------------------
+# 4
 
 
 def test_packing(spark, docs, cases):
@@ -230,7 +230,7 @@ def test_plan_is_one_by_one_packing():
         packing.plan({0: 1})
 
 
-# 5 ---------------------------------------------------------------------------------------------
+# 5
 
 
 def test_warc_round_trip(spark, sf):
@@ -280,7 +280,7 @@ def test_op5_query(spark, sf):
         assert r.payload_bytes == len(pages[r.page_id]) and r.payload_digest == base64.b32encode(hashlib.sha1(pages[r.page_id]).digest()).decode()
 
 
-# 6, 9: with SQL --------------------------------------------------------------------------------
+# 6, 9: with SQL
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -335,7 +335,7 @@ def test_lines(spark):
     assert quality.clean(df, max_lost=1.0).where("kept").count() == 1  # a filter on a result column
 
 
-# 7 ---------------------------------------------------------------------------------------------
+# 7
 
 
 def test_fingerprints_by_force(spark, docs):
@@ -378,7 +378,7 @@ def test_near_fingerprints_by_force(spark):
     assert got == want and {(r.a, r.b, r.distance) for r in simhash.near(df, radius=3, bits=64, blocks=6).collect()} == want
 
 
-# 8 ---------------------------------------------------------------------------------------------
+# 8
 
 
 def lcs(a, b):
@@ -463,7 +463,7 @@ def test_components_of_a_chain(spark):
     assert got == {n: min(nodes[:40]) for n in nodes[:40]} | {n: min(nodes[50:52]) for n in nodes[50:52]}
 
 
-# 10 --------------------------------------------------------------------------------------------
+# 10
 
 
 def test_language_held_out(spark, sf, cases):
