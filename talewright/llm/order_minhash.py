@@ -219,21 +219,30 @@ def _rarest(many: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return prefix.join(members, "key").select(F.col("t.term").alias("band"), "key", "terms", "label", "center")
 
 
+def _labels(named: DataFrame, text_col: str, id_col: str, least: float) -> DataFrame:
+    """(__key, id, label) of each distinct text: its least id and its class, for named(__key and df's columns)."""
+    docs = named.select(F.col("__key").alias("key"), text_of(text_col).alias("text"))
+    _, label = find_links(docs, least=least)
+    ids = named.select("__key", quoted(id_col).alias("id"))
+    return cut(ids.groupBy("__key").agg(F.min("id").alias("id")).join(label.withColumnRenamed("node", "__key"), "__key", "left").withColumn("label", F.coalesce("label", "__key")), "ids")
+
+
 def classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", least: float = LIKENESS) -> DataFrame:
     """df with class_id, the least id of the row's class, and kept, whether the row's id is that one."""
     rows = without(df, *RESULT)
     named = rows.withColumn("__key", row_key(text_of(text_col)))
-    docs = named.select(F.col("__key").alias("key"), text_of(text_col).alias("text"))
-    _, label = find_links(docs, least=least)
-    ids = named.select("__key", quoted(id_col).alias("id"))
-    of = cut(ids.groupBy("__key").agg(F.min("id").alias("id")).join(label.withColumnRenamed("node", "__key"), "__key", "left").withColumn("label", F.coalesce("label", "__key")), "ids")
+    of = _labels(named, text_col, id_col, least)
     least_id = of.groupBy("label").agg(F.min("id").alias("class_id"))
     by_key = of.join(least_id, "label").select("__key", "class_id")
     return named.join(by_key, "__key").drop("__key").withColumn("kept", F.col("class_id").eqNullSafe(quoted(id_col)))
 
 
 def deduplicated(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", least: float = LIKENESS) -> DataFrame:
-    """df with one row of each class: that of the least id (any one of rows that share it)."""
-    narrow = df.select(quoted(id_col).alias("id"), text_of(text_col).alias("text"))
-    keep = classes(narrow, id_col="id", least=least).where("kept").select("class_id").distinct()
-    return df.join(keep, quoted(id_col).eqNullSafe(F.col("class_id")), "left_semi").dropDuplicates([id_col])
+    """df with one row of each class: that of the least (id, text key), nulls last (any one of rows that share both)."""
+    named = df.withColumn("__key", row_key(text_of(text_col)))
+    of = _labels(named, text_col, id_col, least)
+    first = of.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key")).alias("first"))
+    keep = first.select(F.col("first.__key").alias("__keep"), F.col("first.id").alias("__id"))
+    # a text is in one class only, so its key stands for the class
+    kept = named.join(keep, (F.col("__key") == F.col("__keep")) & quoted(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")

@@ -455,6 +455,14 @@ def test_near_duplicates_edges(spark, cases):
     assert order_minhash.classes(cases.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    x, y, z = SENTENCE * 4, "Many ripe apples fell from the old tree behind the house in autumn. " * 4, "A cold wind blew over the empty fields all through the long night. " * 4
+    rows = [(None, x), (None, y), (None, "q r s"), (5, y), (5, z), (5, z), (3, z + "x"), (7, "a b c"), (7, "d e f"), (None, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = order_minhash.deduplicated(df)
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(None, x), (5, y), (None, "q r s"), (3, z + "x"), (7, "a b c"), (7, "d e f")])
+
+
 def test_components_of_a_chain(spark):
     rng = random.Random(8)
     nodes = [f"{rng.getrandbits(60):015x}" for _ in range(60)]
