@@ -160,6 +160,18 @@ def test_shards(spark, cases, bucket_rows):
     assert len(few) == len(CASES) and {r.slot for r in few} == {0} and sharding.interleave(cases.limit(0)).count() == 0
 
 
+def test_shards_whatever_the_bucket_rows(spark):
+    rows = [(k, f"text {k // 4}", "a") for k in range(1600)] + [(2000 + k, f"hot {k % 2}", "ab"[k % 3 % 2]) for k in range(400)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places = [collections.Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.interleave(df, shards=8, bucket_rows=n).collect()) for n in (200_000, 300, 50)]
+    assert places[0] == places[1] == places[2]
+    shards = collections.defaultdict(set)
+    for i, crc, shard, _ in places[2]:
+        if i is not None and i < 2000:
+            shards[crc].add(shard)
+    assert sum(len(v) > 1 for v in shards.values()) <= 7  # at a cut
+
+
 # 4
 
 
