@@ -3,7 +3,8 @@
 A text is a vector of hashed byte trigrams of its lower-cased letters, weighted by
 (1 + log tf) * idf and normalised. Each language has a few centroids, clustered (spherical k-means)
 from a bounded sample of labelled texts; a text gets the language of the centroid with the
-largest cosine. It is rejected if that cosine lies further out than the training texts' by a margin.
+largest cosine. It is rejected if that cosine lies further out than that of training texts of its length by a margin:
+short texts lie far out by themselves, long ones don't.
 
 Document frequencies count all labelled texts; only the centroids come from the sample
 (`sample_rows`, by hash of the id, the same share of every language at most).
@@ -30,8 +31,10 @@ from .common import quoted, slices, text_of, with_arrow
 SIZE = 4096
 SAMPLE_ROWS = 4000
 CLUSTERS = 4
-#: A text is rejected below this share of the cosine that all but a thousandth of the sample reach: very short texts stay.
+#: A text is rejected below this share of the cosine that all but a thousandth of the sampled texts of its length or longer reach.
 MARGIN = 0.5
+#: Sampled texts that a threshold needs; texts longer than all but as many have the one before.
+LONGEST = 64
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
@@ -59,13 +62,14 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids (rows) with their language, the idf and the least cosine that isn't rejected."""
+    """Centroids (rows) with their language, the idf, and the least cosines that aren't rejected from numbers of trigrams on."""
 
     languages: list[str]
     centroids: np.ndarray
     owner: np.ndarray
     idf: np.ndarray
-    least: float
+    least: np.ndarray
+    sizes: np.ndarray
 
     def score(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cosine = vectors(count, self.idf) @ self.centroids.T
@@ -73,6 +77,27 @@ class Model:
         return self.owner[best], np.clip(cosine[np.arange(len(best)), best], 0, 1).astype(np.float64)
 
 
+    def too_far(self, count: np.ndarray, score: np.ndarray) -> np.ndarray:
+        step = np.searchsorted(self.sizes, count.sum(axis=1), side="right") - 1
+        return score < self.least[np.maximum(step, 0)]
+
+
+def thresholds(near: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, sizes): least cosines for texts of sizes[k] trigrams or more, sizes ascending from 0.
+
+    Sizes are half octaves from 128 on: texts of fewer trigrams, some twenty words, say too little and are held to what
+    all texts reach. A longer text is never held to less than a shorter one.
+    """
+    least, sizes = [np.quantile(near, 0.001)], [0.0]
+    for half in range(14, 64):
+        own = near[size >= 2 ** (half / 2)]
+        if len(own) < LONGEST:
+            break
+        least.append(np.quantile(own, 0.001))
+        sizes.append(2 ** (half / 2))
+    return np.maximum.accumulate(least) * MARGIN, np.array(sizes)
+
+
 def _clusters(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Spherical k-means."""
     k = min(k, len(x))
@@ -98,7 +123,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     number = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(number)
     if not languages:
-        return Model([], np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64), np.ones(SIZE, np.float32), 0.0)
+        return Model([], np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64), np.ones(SIZE, np.float32), np.zeros(1), np.zeros(1))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SIZE, dtype=np.int64), 0
@@ -134,23 +159,24 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     x = {k: [] for k in languages}
     for r in sample:
         x[r.lang].append(np.frombuffer(r.x, dtype=np.float32))
-    centroids, owner, near = [], [], []
+    centroids, owner, near, size = [], [], [], []
     for i, k in enumerate(languages):
         if x[k]:
-            v = vectors(np.vstack(x[k]), idf)
+            own = np.vstack(x[k])
+            v = vectors(own, idf)
             c = _clusters(v, clusters, seed)
             near.append((v @ c.T).max(axis=1))
+            size.append(own.sum(axis=1))
             centroids.append(c)
             owner += [i] * len(c)
     if not centroids:
-        return Model([], np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64), idf, 0.0)
-    least = float(np.quantile(np.concatenate(near), 0.001)) * MARGIN
-    return Model(languages, np.vstack(centroids), np.array(owner), idf, least)
+        return Model([], np.zeros((0, SIZE), np.float32), np.zeros(0, np.int64), idf, np.zeros(1), np.zeros(1))
+    return Model(languages, np.vstack(centroids), np.array(owner), idf, *thresholds(np.concatenate(near), np.concatenate(size)))
 
 
 def predict(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """df with lang_pred, score (cosine with the nearest centroid) and rejected."""
-    languages, least = model.languages, model.least
+    languages = model.languages
 
     def work(texts: pa.Array) -> list[pa.Array]:
         import regex
@@ -159,9 +185,10 @@ def predict(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
         readable = np.array([bool(languages) and regex.search(r"\p{L}", t) is not None for t in listed])
         if not languages:
             return [pa.array(["und"] * len(listed)), pa.array([0.0] * len(listed)), pa.array([True] * len(listed))]
-        owner, score = model.score(counts(listed))
+        count = counts(listed)
+        owner, score = model.score(count)
         names = [languages[o] if r else "und" for o, r in zip(owner, readable)]
-        score = np.where(readable, score, 0.0)
-        return [pa.array(names, pa.string()), pa.array(score), pa.array(~readable | (score < least))]
+        rejected = ~readable | model.too_far(count, score)
+        return [pa.array(names, pa.string()), pa.array(np.where(readable, score, 0.0)), pa.array(rejected)]
 
     return with_arrow(df, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())], work)

@@ -504,3 +504,16 @@ def test_language_held_out(spark, sf, cases):
     empty = language.fit(docs.limit(0))
     assert {r.lang_pred for r in language.predict(cases, empty).collect()} == {"und"}
     assert language.predict(cases.limit(0), model).count() == 0
+
+
+def test_long_texts_far_from_every_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where(~queries.held_out()))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    far = [" ".join(word() for _ in range(n)) for n in (400, 5000, 50_000)]
+    dutch = "Het oude schip voer langzaam langs de stille haven terwijl de meeuwen erboven cirkelden en de vissers hun netten op de kade legden. Gisteren hebben wij met onze buren over het nieuwe huis gesproken, dat volgend jaar gebouwd zal worden."
+    short = ["Avec.", "Onhaha sh.", "By be in tothedouou and, oninly."]
+    rows = [(k, t) for k, t in enumerate([*far, dutch, dutch * 10, *short])]
+    got = {r.doc_id: r.rejected for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[k] for k, _ in rows] == [True] * 5 + [False] * 3
