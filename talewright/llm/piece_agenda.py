@@ -3,8 +3,8 @@
 The encoder keeps an agenda of adjacent symbol pairs ordered by score (leftmost first among
 equals) and merges the best until none is left. Texts are cut before each run of the blank sign that
 follows another sign: where no piece crosses such a place, neither does a merge, so segments
-are encoded by themselves and kept in a bounded table. New segments of each Arrow batch are
-encoded by the sentencepiece library as well, and a difference ends the job.
+are encoded by themselves and kept in a bounded table. All new segments of each Arrow batch are
+encoded and decoded by the sentencepiece library as well, in runs, and one whole text of the batch is; a difference ends the job.
 
 Cases: a null or empty text has no ids and decodes to ''. A text that is one long
 word is one agenda of its length (n log n). Columns named `ids` or `decoded` are replaced; rows
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,6 +34,10 @@ KEEP_SEGMENTS = 200_000
 KEEP_LENGTH = 48
 #: Segments up to this long share a matrix agenda.
 SHORT = 48
+#: Segments that one call of the library checks.
+RUN = 64
+#: Of each Arrow batch the text that is nearest to this many bytes is checked as a whole, too.
+WHOLE = 4000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -102,6 +107,11 @@ class Pieces:
         self.crossing = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.score)
         self.surface = [{NORMAL: p.replace(BLANK, " "), UNKNOWN: " ⁇ "}.get(t, "") for p, t in zip(self.pieces, self.types)]
         self.is_byte = np.array([t == BYTE for t in self.types])
+        # the surfaces as one table of bytes, for decoding many texts at once
+        shown = [bytes([self.bytes.index(i)]) if t == BYTE else x.encode() for i, (x, t) in enumerate(zip(self.surface, self.types))]
+        self.shown = np.frombuffer(b"".join(shown), dtype=np.uint8)
+        self.shown_size = np.array([len(x) for x in shown], dtype=np.int64)
+        self.shown_from = np.cumsum(self.shown_size) - self.shown_size
         self.byte_of = {i: b for b, i in enumerate(self.bytes)} if self.fallback else {}
 
     def _build_table(self) -> None:
@@ -127,27 +137,43 @@ class Pieces:
         if not text:
             return []
         marked = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
-        return [marked] if self.crossing else re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", marked)
+        if self.crossing:
+            return [marked]
+        if BLANK * 2 in marked or marked[0] != BLANK or marked[-1] == BLANK:
+            return re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", marked)
+        return [BLANK + s for s in marked[1:].split(BLANK)]
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment, by an agenda in a heap."""
         return self._ids(self._merged(segment))
 
     def merge_many(self, segments: list[str]) -> list[list[int]]:
-        """Ids of many segments: the short ones go through the agenda together, as a matrix."""
-        out: list = [None] * len(segments)
-        short = [i for i, s in enumerate(segments) if len(s) <= SHORT]
-        for i in set(range(len(segments))) - set(short):
-            out[i] = self.merge(segments[i])
-        if short:
-            codes = np.frombuffer("".join(segments[i] for i in short).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            symbols, lengths = self.table.merge(self.symbol[codes], np.array([len(segments[i]) for i in short]))
-            listed = symbols.tolist()
-            ends = np.cumsum(lengths).tolist()
-            unsure = np.add.reduceat(symbols >= len(self.pieces), np.array([0, *ends[:-1]]))
-            for i, a, b, strange in zip(short, [0, *ends], ends, unsure):
-                ids = listed[a:b]
-                out[i] = self._ids([self.pieces[x] if x < len(self.pieces) else chr(x - len(self.pieces)) for x in ids]) if strange else ids
+        """Ids of many segments."""
+        return [_listed(raw) for raw in self.merge_raw(segments)]
+
+    def merge_raw(self, segments: list[str]) -> list[bytes]:
+        """Ids (32 bits each) of many segments: the short ones go through the agenda together, as a matrix."""
+        sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
+        short = np.flatnonzero(sizes <= SHORT)
+        out: list = [b""] * len(segments) if len(short) < len(segments) else []
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = np.array(self.merge(segments[i]), dtype="<i4").tobytes()
+        if not len(short):
+            return out
+        own = [segments[i] for i in short.tolist()] if out else segments
+        codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        symbols, lengths = self.table.merge(self.symbol[codes], sizes[short])
+        ends = np.cumsum(lengths)
+        raw, stops = symbols.astype("<i4").tobytes(), (ends * 4).tolist()
+        done = [raw[a:b] for a, b in zip([0, *stops], stops)]
+        strange = np.flatnonzero(symbols >= len(self.pieces))
+        for k in np.unique(np.searchsorted(ends, strange, side="right")).tolist():  # signs that are no piece
+            held = symbols[ends[k] - lengths[k] : ends[k]].tolist()
+            done[k] = np.array(self._ids([self.pieces[x] if x < len(self.pieces) else chr(x - len(self.pieces)) for x in held]), dtype="<i4").tobytes()
+        if not out:
+            return done
+        for i, d in zip(short.tolist(), done):
+            out[i] = d
         return out
 
     def _merged(self, segment: str) -> list[str]:
@@ -192,6 +218,25 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         return [i for s in self.segments(text) for i in self.merge(s)]
 
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of the ids laid end to end (ends: 0 first), looked up in the table of surfaces.
+
+        Texts whose byte pieces don't make up valid UTF-8 are read one by one, by decode().
+        """
+        sizes = self.shown_size[ids]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.shown[np.repeat(self.shown_from[ids] - stops[:-1], sizes) + np.arange(stops[-1])]
+        texts = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            try:
+                out = str(data[stops[a] : stops[b]], "utf-8")
+            except UnicodeDecodeError:
+                texts.append(self.decode(ids[a:b]))
+                continue
+            first = next((t for t in (self.types[i] for i in ids[a:b]) if t != CONTROL), None)
+            texts.append(out[1:] if self.prefix and first == NORMAL and out[:1] == " " else out)
+        return pa.array(texts, pa.string())
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; runs of byte pieces are read as UTF-8, what isn't valid as U+FFFD."""
         if not len(ids):
@@ -244,26 +289,60 @@ class _Segments:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, rows: list[list[str]]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, end to end, and their ends (0 first). Each different segment of the batch is looked up once."""
+        segments, of_text = _cut(texts, self.vocabulary)
+        coded = segments.dictionary_encode()
+        own = pc.replace_substring(coded.dictionary, " ", BLANK).to_numpy(zero_copy_only=False).tolist()
+        raw = self._lookup(own)
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        held = np.frombuffer(b"".join(raw), dtype="<i4")
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[index]
+        stops = np.concatenate([[0], np.cumsum(counts)])
+        ids = held[np.repeat((np.cumsum(sizes) - sizes)[index] - stops[:-1], counts) + np.arange(stops[-1])]
+        return ids, stops[np.searchsorted(of_text, np.arange(len(texts) + 1))]
+
+    def _lookup(self, segments: list[str]) -> list[bytes]:
         if len(self.new) > KEEP_SEGMENTS:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = list({s for row in rows for s in row if s not in new})
-        for s in missing:
-            if s in old:
-                new[s] = old[s]
-        missing = [s for s in missing if s not in new]
-        long: list[str] = []
-        for s, ids in zip(missing, self.vocabulary.merge_many(missing)):
-            raw = new[s] = np.array(ids, dtype="<i4").tobytes()
-            if self.check and self.vocabulary.prefix and len(s) > 1 and s[0] == BLANK:
-                self.fresh[s] = raw
+        raw = list(map(new.get, segments))
+        where = [k for k, r in enumerate(raw) if r is None]
+        for k in where:
+            raw[k] = old.get(segments[k])
+        where = [k for k in where if raw[k] is None]
+        unknown = [segments[k] for k in where]
+        made = self.vocabulary.merge_raw(unknown)
+        for k, ids in zip(where, made):
+            raw[k] = ids
+        if self.check:
+            self.fresh.update(zip(unknown, made))
+        new.update(zip(segments, raw))
+        for s in unknown:
             if len(s) > KEEP_LENGTH:
-                long.append(s)
-        out = [b"".join(map(new.__getitem__, row)) for row in rows]
-        for s in long:
-            del new[s]
-        return out
+                del new[s]
+        return raw
+
+
+def _cut(texts: pa.Array, vocabulary: Pieces) -> tuple[pa.Array, np.ndarray]:
+    """The texts' segments (blank signs as blanks, prefix included), and the row of each; as Pieces.segments."""
+    plain = pc.replace_substring(texts, BLANK, " ")
+    if vocabulary.prefix:
+        plain = pc.if_else(pc.equal(pc.binary_length(plain), 0), "", pc.binary_join_element_wise(pa.scalar(" "), plain, ""))
+    sizes = pc.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer("".join(plain.to_pylist()).encode(), dtype=np.uint8)
+    starts = ends[:-1][sizes > 0]
+    if not vocabulary.crossing:
+        blank = data == 32
+        first = np.zeros(len(data), dtype=bool)
+        first[1:] = blank[1:] & ~blank[:-1]
+        first[starts] = True
+        starts = np.flatnonzero(first)
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    segments = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+    return segments, np.searchsorted(ends, starts, side="right") - 1
 
 
 _loaded: dict[tuple[str, bool], tuple[Pieces, _Segments, object]] = {}
@@ -281,12 +360,38 @@ def _load(path: str, check: bool) -> tuple[Pieces, _Segments, object]:
     return _loaded[path, check]
 
 
-def _verify(segments: _Segments, library: object) -> None:
+def _listed(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, dtype="<i4").tolist()
+
+
+def _verify(vocabulary: Pieces, segments: _Segments, library: object) -> None:
+    """The library's ids of every new segment, and its text of them, must be ours.
+
+    Segments that start with one blank sign are laid end to end, so that each call also shows that no merge crosses their
+    borders; others are encoded by themselves.
+    """
     fresh, segments.fresh = segments.fresh, {}
-    theirs = library.encode([s[1:] for s in fresh], num_threads=1) if fresh else []
-    for (segment, ours), other in zip(fresh.items(), theirs):
-        if np.frombuffer(ours, dtype="<i4").tolist() != other:
-            raise ValueError(f"the library encodes {segment!r} as {other}")
+    joined = [s for s in fresh if len(s) > 1 and s[0] == BLANK and s[-1] != BLANK]
+    runs = [joined[k : k + RUN] for k in range(0, len(joined), RUN)] if not vocabulary.crossing else [[s] for s in joined]
+    runs += [[s] for s in fresh if not (len(s) > 1 and s[0] == BLANK and s[-1] != BLANK)]
+    if vocabulary.prefix:
+        runs = [r for r in runs if r[0][0] == BLANK]
+    skip = int(vocabulary.prefix)
+    theirs = library.encode(["".join(r)[skip:] for r in runs], num_threads=1) if runs else []
+    ours = [_listed(b"".join(map(fresh.__getitem__, r))) for r in runs]
+    for run, a, b in zip(runs, ours, theirs):
+        if a != b and run != [BLANK]:  # one blank sign alone is an empty text's prefix, which the library leaves out
+            raise ValueError(f"the library encodes {''.join(run)!r} as {b}, not {a}")
+    for a, b in zip(ours, library.decode(ours, num_threads=1) if ours else []):
+        if vocabulary.decode(np.array(a, dtype=np.int32)) != b:
+            raise ValueError(f"the library decodes {a} to {b!r}")
+
+
+def _verify_whole(text: str, ids: list[int], decoded: str, library: object) -> None:
+    """The same of a whole text."""
+    theirs = library.encode(text, num_threads=1)
+    if theirs != ids or library.decode(theirs) != decoded:
+        raise ValueError(f"the library encodes or decodes otherwise: {text[:200]!r}")
 
 
 def encode_decode(df: DataFrame, *, text_col: str = "text", model: str | None = None, check: bool = True) -> DataFrame:
@@ -295,12 +400,12 @@ def encode_decode(df: DataFrame, *, text_col: str = "text", model: str | None =
 
     def work(texts: pa.Array) -> list[pa.Array]:
         vocabulary, segments, library = _load(path, check)
-        rows = segments.encode([vocabulary.segments(t) for t in texts.to_pylist()])
+        ids, ends = segments.encode(texts)
+        decoded = vocabulary.decode_many(ids, ends)
         if check:
-            _verify(segments, library)
-        ids = np.frombuffer(b"".join(rows), dtype="<i4")
-        ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-        decoded = [vocabulary.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(decoded, pa.string())]
+            _verify(vocabulary, segments, library)
+            k = int(np.abs(pc.binary_length(texts).to_numpy(zero_copy_only=False) - WHOLE).argmin())
+            _verify_whole(texts[k].as_py(), ids[ends[k] : ends[k + 1]].tolist(), decoded[k].as_py(), library)
+        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), decoded]
 
     return with_arrow(df, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())], work)
