@@ -1,9 +1,9 @@
 """Line-first quality cleaning, in DataFrame operations only.
 
-Each line with a word is judged by itself: it must end in sentence punctuation, be
-no navigation (separators between short items, or too few words without an
-end mark) and no boilerplate, be mostly letters, and not shout. Failing lines go; a document that loses
-more than a given share of its characters is rejected, as is one that fails the base
+Each line with a word is judged by itself, whatever else its document holds: it must end in sentence punctuation, be
+no navigation (two or more separators between items, or three or more words that all start with a capital) and no
+boilerplate (stock phrases of web pages and licences in English, French, German and Spanish), be mostly letters, and not shout.
+Failing lines go; a document that loses more than a given share of its characters is rejected, as is one that fails the base
 rules (too few words, too many words in repeated five-word windows).
 
 Cases: a null or empty text has no words, fails the base and isn't kept; its
@@ -20,11 +20,17 @@ from .common import SPACE, quoted, text_of, without
 
 SYMBOLS = "#*$%&|<>"
 ENDS = ".!?:;…。！？»”\"')]"
-NAVIGATION = r"[|»›·•][^|»›·•]*[|»›·•]"
+SEPARATORS = r"[|»›·•][^|»›·•]*[|»›·•]| [>/→] .* [>/→] "
+CAPITALS = r"^(?:\p{Lu}[^\x20\x09-\x0D]*[\x20\x09-\x0D]+){2,}\p{Lu}[^\x20\x09-\x0D]*$"
 BOILERPLATE = (
     r"\b(?:all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|click here|subscribe (?:now|to)|sign (?:in|up)\b|log ?in\b|"
-    r"enable javascript|lorem ipsum|powered by|read more|share this|follow us|licensed under|permission is hereby granted)"
+    r"enable javascript|lorem ipsum|powered by|read more|share this|follow us|licensed under|permission is hereby granted|"
+    r"tous droits réservés|politique de confidentialité|cliquez ici|lire la suite|conditions d.utilisation|"
+    r"alle rechte vorbehalten|datenschutzerklärung|hier klicken|mehr lesen|nutzungsbedingungen|"
+    r"todos los derechos reservados|política de (?:privacidad|cookies)|haga clic aquí|leer más|condiciones de uso)"
 )
+#: What a line holds if half or more of its characters are no letters: two such in a row, or none but every other one.
+FEW_LETTERS = r"[^\p{L}\s]\s*[^\p{L}\s]|^[^\p{L}\s](?:\s*\p{L}\s*[^\p{L}\s])*$"
 #: Share of a document's line characters that its failing lines may hold.
 MAX_LOST = 0.5
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost", "clean_text", "kept")
@@ -47,25 +53,25 @@ def n_spaces(text: Column) -> Column:
 
 
 def signs_of(text: Column) -> Column:
-    """What the whole text holds that rules look for; lines are searched only for what is there."""
+    """What the whole text holds that rules can't do without; lines are searched only for what is there."""
     return F.struct(
         text.rlike(r"[#*$%&|<>=_~^]").alias("symbols"),
-        text.rlike(r"[0-9]{3}").alias("digits"),
-        text.rlike(r"[|»›·•]").alias("bars"),
+        text.rlike(r"[|»›·•]| [>/→] ").alias("bars"),
         F.lower(text).rlike(BOILERPLATE).alias("canned"),
     )
 
 
 def judged_lines(text: Column, signs: Column) -> Column:
     """Each line with its size (trimmed characters) and whether it breaks a rule; signs: see signs_of."""
-    symbols, digits, bars, canned = (signs[x] for x in ("symbols", "digits", "bars", "canned"))
+    symbols, bars, canned = (signs[x] for x in ("symbols", "bars", "canned"))
     trimmed = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(SPACE)).alias("trim")))
     rules = lambda x: (
         ~F.contains(F.lit(ENDS), F.substring(x, -1, 1))
         | ((F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) >= 10))
         | F.when(symbols, F.regexp_count(x, F.lit(r"[#*$%&|<>=_~^]")) * 10 > F.length(x)).otherwise(False)
-        | F.when(digits, F.regexp_count(x, F.lit(r"\p{L}")) * 2 < F.length(x) - n_spaces(x)).otherwise(False)
-        | F.when(bars, x.rlike(NAVIGATION)).otherwise(False)
+        | F.when(x.rlike(FEW_LETTERS), F.regexp_count(x, F.lit(r"\p{L}")) * 2 < F.length(x) - n_spaces(x)).otherwise(False)
+        | F.when(bars, x.rlike(SEPARATORS)).otherwise(False)
+        | x.rlike(CAPITALS)
         | F.when(canned, F.lower(x).rlike(BOILERPLATE)).otherwise(False)
     )
     return F.transform(trimmed, lambda x: F.struct(x["line"].alias("line"), F.length(x["trim"]).alias("size"), F.when(x["trim"] == "", False).otherwise(rules(x["trim"])).alias("fails")))

@@ -40,7 +40,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {_RULES} AS rules(host, path, verdict)")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -117,8 +117,8 @@ OP9_SQL = rf"""
   covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM again, unnest(range(i, i + 5)) AS u(j) GROUP BY doc_id),
   judged AS (SELECT doc_id, length(x) AS size, x <> '' AND (NOT contains('{quality.ENDS.replace("'", "''")}', right(x, 1)) OR (upper(x) = x AND lower(x) <> x AND length(x) >= 10)
       OR len(regexp_extract_all(x, '[#*$%&|<>=_~^]')) * 10 > length(x)
-      OR (regexp_matches(t, '[0-9]{{3}}') AND len(regexp_extract_all(x, '\p{{L}}')) * 2 < length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')))
-      OR regexp_matches(x, '{quality.NAVIGATION}') OR regexp_matches(lower(x), '{_BOILERPLATE}')) AS fails FROM w, unnest(trims) AS u(x)),
+      OR len(regexp_extract_all(x, '\p{{L}}')) * 2 < length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))
+      OR regexp_matches(x, '{quality.SEPARATORS}') OR regexp_matches(x, '{quality.CAPITALS}') OR regexp_matches(lower(x), '{_BOILERPLATE}')) AS fails FROM w, unnest(trims) AS u(x)),
   lost AS (SELECT doc_id, coalesce(sum(size) FILTER (fails), 0) / nullif(sum(size), 0) AS share FROM judged GROUP BY doc_id),
   base AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[{quality.SYMBOLS}]'))::BIGINT AS n_symbols,
       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id))

@@ -77,7 +77,7 @@ def interleave(df: DataFrame, *, shards: int = 24, seed: int = 17, text_col: str
         rows = _split_hot(rows, by_text, bucket_rows)
     sources = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__of"))
     ranked = _ranked(rows, ["__source"], ["__b", "__h", "__c"], [F.col("__order"), F.col("__tie")], "__rank").join(sources, "__source")
-    # (2 rank + 1) / (2 n): in whole numbers, so that the order is exact
+    # (2 rank + 1) / (2 n) to 18 digits; sources that tie in them go by name, then rank, so the order is fixed
     ranked = ranked.withColumn("__fraction", (F.col("__rank") * 2 + 1).cast("decimal(20,0)") / (F.col("__of") * 2).cast("decimal(19,0)"))
     ranked = ranked.withColumn("__f", F.least(F.lit(by_text - 1), F.floor(F.col("__fraction") * by_text)).cast("int"))
     placed = _ranked(ranked, [], ["__f"], [F.col("__fraction"), F.col("__source"), F.col("__rank")], "__place")

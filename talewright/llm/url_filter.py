@@ -64,9 +64,12 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     key = "__url"
     while key in kept.columns:
         key += "_"
-    kept = kept.withColumn(key, F.coalesce(quoted(url_col).cast("string"), F.lit("")))
+    kept = kept.withColumn(key, quoted(url_col).cast("string"))
+    named, nameless = kept.where(F.col(key).isNotNull()), kept.where(F.col(key).isNull())  # null URLs don't meet in a task
     host, path = split_url(F.col(key))
-    urls = kept.select(key).distinct().select(key, host.alias("u_host"), path.alias("u_path"))
+    # a number of its own: the distinct URLs are few bytes, but each becomes many expressions
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = named.select(key).distinct().repartition(tasks, key).select(key, host.alias("u_host"), path.alias("u_path"))
     labels = F.split("u_host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("array(0)"), lambda n: n <= F.length("u_path"))
@@ -82,14 +85,13 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("r_verdict"))
     found = hits.groupBy(key).agg(F.max_by(F.struct("r_host", "r_path", "r_verdict"), rank).alias("hit"))
     rule = F.concat("hit.r_host", "hit.r_path")
-    host, path = split_url(F.col(key))
-    return (
-        kept.join(found, key, "left")
-        .select(
-            *[quoted(c) for c in kept.columns if c != key],
-            host.alias("host"),
-            path.alias("path"),
-            rule.alias("rule"),
-            F.coalesce(F.col("hit.r_verdict"), F.lit(default)).alias("verdict"),
-        )
+    names = [quoted(c) for c in kept.columns if c != key]
+    judged = named.join(found, key, "left").select(
+        *names,
+        host.alias("host"),
+        path.alias("path"),
+        rule.alias("rule"),
+        F.coalesce(F.col("hit.r_verdict"), F.lit(default)).alias("verdict"),
     )
+    empty = F.lit("")
+    return judged.unionByName(nameless.select(*names, empty.alias("host"), empty.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))

@@ -36,6 +36,9 @@ from .common import cut, local_path, quoted, scratch
 
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
+#: Compressed bytes of a package that are read in a run, and about as many as a task reads.
+RUN_BYTES = 1 << 20
+TASK_BYTES = 32 << 20
 PACKAGE_BYTES = 64 << 20
 _NAMES = uuid.UUID("5b0f6c52-3f0a-4f4e-8f3a-0c8d6f1f7a11")
 
@@ -237,8 +240,13 @@ def write(df: DataFrame, folder: str, *, key_col: str = "page_id", url_col: str
     """Write a record for each row into packages in `folder` (on a share that all executors mount); gives their paths."""
     payload = F.coalesce(quoted(payload_col).cast("binary"), F.lit(b""))
     pages = df.select(quoted(key_col).alias("key"), F.coalesce(quoted(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    first = pages.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("key").alias("first"))
-    rows = pages.join(first, "sha", "left").select("key", F.coalesce(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least), F.lit(False)).alias("revisit"), "first", "url", "payload")
+    # verdicts are found on keys and digests alone; payloads then meet theirs by key, so copies of one payload don't meet in a task
+    narrow = pages.where(F.octet_length("payload") >= least).select("key", "sha")
+    first = narrow.groupBy("sha").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("sha", "first")
+    again = narrow.join(first, "sha").where(~F.col("key").eqNullSafe(F.col("first"))).distinct()
+    mine = again.select(F.col("key").alias("k"), F.col("sha").alias("s"), "first")
+    rows = pages.join(mine, F.col("key").eqNullSafe(F.col("k")) & (F.col("sha") == F.col("s")), "left")
+    rows = rows.select("key", F.col("first").isNotNull().alias("revisit"), "first", "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, paths = Package(), []
@@ -289,9 +297,11 @@ def read(packages: DataFrame) -> DataFrame:
         if opened:
             opened[1].close()
 
-    places = packages.select("path").mapInArrow(listed, "path string, offset long, length long")
-    # a run of records of one package to a task, in order
-    runs = places.withColumn("run", F.expr("offset div 8388608")).repartition("path", "run").sortWithinPartitions("path", "offset").drop("run")
+    places = cut(packages.select("path").mapInArrow(listed, "path string, offset long, length long"), "places")
+    # runs of records of one package stay together, in order; tasks by the bytes to be read, not by the size of their places
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    runs = places.withColumn("run", F.expr(f"offset div {RUN_BYTES}")).repartition(tasks, "path", "run").sortWithinPartitions("path", "offset").drop("run")
     return runs.mapInArrow(fetched, "path string, offset long, key string, uri string, record_type string, refers_to string, header_digest string, payload binary")
 
 

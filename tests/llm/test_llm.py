@@ -160,6 +160,29 @@ def test_shards(spark, cases, bucket_rows):
     assert len(few) == len(CASES) and {r.slot for r in few} == {0} and sharding.interleave(cases.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [200_000, 7])
+def test_shards_by_force(spark, bucket_rows):
+    """The whole order, restated: ranks by text hash then id hash within sources, merged by fractional rank."""
+    from fractions import Fraction
+
+    rng = random.Random(2)
+    rows = [(k, f"text {k % 97 if k % 3 else 5}", rng.choice([None, "a", "a", "a", "b"])) for k in range(700)] + [(None, None, "a")]
+    md5 = lambda *x: hashlib.md5("\x1f".join(x).encode()).hexdigest()
+    by = collections.defaultdict(list)
+    for i, t, s in rows:
+        by["" if s is None else "=" + s].append((md5("17", t or ""), md5("17", str(i)) if i is not None else md5("17"), i))
+    order = sorted((Fraction(2 * r + 1, 2 * len(v)), s, r, x[2]) for s, v in by.items() for r, x in enumerate(sorted(v, key=lambda x: x[:2])))
+    n = len(rows)
+    want, slots = {}, collections.Counter()
+    for place, (_, _, _, i) in enumerate(order):
+        shard = place * 8 // n
+        want[i] = shard, slots[shard]
+        slots[shard] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df, shards=8, bucket_rows=bucket_rows).collect()}
+    assert got == want
+
+
 def test_shards_whatever_the_bucket_rows(spark):
     rows = [(k, f"text {k // 4}", "a") for k in range(1600)] + [(2000 + k, f"hot {k % 2}", "ab"[k % 3 % 2]) for k in range(400)] + [(None, None, None)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -290,6 +313,8 @@ def test_op5_query(spark, sf):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op5_warc(spark, sf).collect():
         assert r.payload_bytes == len(pages[r.page_id]) and r.payload_digest == base64.b32encode(hashlib.sha1(pages[r.page_id]).digest()).decode()
+        least = min(k for k, v in pages.items() if v == pages[r.page_id])
+        assert (r.record_type, r.refers_to) == (("response", None) if least == r.page_id else ("revisit", least))
 
 
 # 6, 9: with SQL
@@ -347,6 +372,50 @@ def test_lines(spark):
     assert quality.clean(df, max_lost=1.0).where("kept").count() == 1  # a filter on a result column
 
 
+def judged(spark, lines):
+    """For each line whether it stays in a document by itself."""
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return [r.clean_text == line for r, line in zip(quality.clean(df).orderBy("doc_id").collect(), lines)]
+
+
+def line_by_force(line):
+    """The rules of a line, restated."""
+    import regex
+
+    x = line.strip(" \t\n\x0b\x0c\r")
+    if not x:
+        return True
+    words = regex.findall(r"[^\x20\x09-\x0D]+", x)
+    bars = [k for k, c in enumerate(x) if c in "|»›·•"]
+    crumbs = regex.findall(r" [>/→](?= )", x)
+    return not (
+        x[-1] not in quality.ENDS
+        or (x.upper() == x and x.lower() != x and len(x) >= 10)
+        or sum(c in "#*$%&|<>=_~^" for c in x) * 10 > len(x)
+        or len(regex.findall(r"\p{L}", x)) * 2 < sum(map(len, words))
+        or len(bars) > 1
+        or len(crumbs) > 1
+        or (len(words) > 2 and all(regex.match(r"\p{Lu}", w) for w in words))
+        or regex.search(quality.BOILERPLATE, x.lower()) is not None
+    )
+
+
+def test_a_line_is_judged_alike_in_any_document(spark, docs):
+    rng = random.Random(9)
+    lines = [
+        "1 2 3 4 5 6 7 8 9 10 11 12.", "12-10-24, 10:30, 45.6.", "- . - . - ( ) .", "a 1 b 2 c 3.", "1 a 2 b 3.", "Home About Contact Products.", "Start > Products > Boats are here.",
+        "One / two / three are here.", "A plain sentence, in 2024, with 3 numbers (10, 20 and 30).", "Alle Rechte vorbehalten.", "In 2024 it rained.", "x", "Ein Satz.", "", " \t", "word | word.", "word | word | word.", "é1ü2 à.",
+    ]
+    lines += ["".join(rng.choice("ab 12.-é,A") for _ in range(rng.randint(1, 14))) + "." for _ in range(400)]
+    lines += [x for _, t in docs[:60] for x in (t or "").split("\n")[:20]]
+    want = [line_by_force(x) for x in lines]
+    assert judged(spark, lines) == want and 50 < sum(want) < len(want) - 50
+    # the same lines, all in one document and with lines that hold every sign
+    text = "\n".join([*lines, "In 2024 | a » b | c > d # all rights reserved", "2024"])
+    kept = quality.clean(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().clean_text.split("\n")
+    assert kept == [x for x, w in zip(lines, want) if w]
+
+
 # 7
 
 
@@ -506,6 +575,54 @@ def test_language_held_out(spark, sf, cases):
     assert language.predict(cases.limit(0), model).count() == 0
 
 
+def test_language_by_force(spark):
+    """Cosines with every centroid, restated with dictionaries; and the sample, with copies and null ids."""
+    texts = [("en", SENTENCE), ("fr", "Le vieux bateau dérivait lentement devant le port tranquille."), ("de", "Das alte Boot trieb langsam am stillen Hafen vorbei.")]
+    rows = [(None, t + str(k % 7), lang) for k in range(30) for lang, t in texts] + [(k, None, "en") for k in range(3)] + [(k, "x", None) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, sample_rows=12, clusters=2)
+    assert model.languages == ["de", "en", "fr"] and sorted(collections.Counter(model.owner.tolist()).values()) == [2, 2, 2]
+
+    def grams(t):
+        raw = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in f" {t} ".lower().encode())
+        return collections.Counter((int.from_bytes(raw[i : i + 3], "big") * 2_654_435_761 % 2**32) >> 20 for i in range(len(raw) - 2) if raw[i + 1] != 32)
+
+    labelled = [(t or "", lang) for _, t, lang in rows if lang]
+    df_of = collections.Counter(g for t, _ in labelled for g in grams(t))
+    idf = {g: np.log((1 + len(labelled)) / (1 + df_of[g])) + 0.05 for g in range(language.SIZE)}
+    assert np.allclose(model.idf, [idf[g] for g in range(language.SIZE)], atol=1e-5)
+    for r in language.predict(df, model).collect():
+        v = {g: (1 + np.log(n)) * idf[g] for g, n in grams(r.text or "").items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        if not norm:
+            assert r.lang_pred == "und"
+            continue
+        cosines = [sum(x * c[g] for g, x in v.items()) / norm for c in model.centroids.astype(float)]
+        assert abs(r.score - max(cosines)) < 1e-4 and r.lang_pred == model.languages[model.owner[int(np.argmax(cosines))]]
+
+
+def test_many_short_texts_in_little_memory():
+    import tracemalloc
+
+    model = language.Model(["a"], np.ones((1, language.SIZE), np.float32) / 64, np.zeros(1, int), np.ones(language.SIZE, np.float32), np.zeros(1), np.zeros(1))
+    tracemalloc.start()
+    for texts in language.by_rows(["a short text"] * 10_000):
+        model.judge(texts)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_unlearned_languages_go(spark):
+    """False accepts: of 40 passages in each of four languages, learned from three of them, how many of the fourth stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 400")
+    for left_out in [r.lang for r in docs.where("lang is not null").select("lang").distinct().collect()]:
+        model = language.fit(docs.where(F.col("lang") != left_out))
+        foreign = language.predict(docs.where(F.col("lang") == left_out), model).collect()
+        own = language.predict(docs.where(F.col("lang") != left_out), model).collect()
+        assert sum(r.rejected for r in own) <= 0.01 * len(own)
+        print(left_out, "accepted", sum(not r.rejected for r in foreign), "of", len(foreign))
+
+
 def test_long_texts_far_from_every_language_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs.where(~queries.held_out()))
