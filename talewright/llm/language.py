@@ -33,8 +33,8 @@ SIZE = 4096
 SAMPLE_ROWS = 4000
 CLUSTERS = 4
 #: A text is rejected below this share of the cosine that all but a thousandth of the sampled texts of its length or longer reach.
-MARGIN = 0.5
-#: Sampled texts that a threshold needs; texts longer than all but as many have the one before.
+MARGIN = 0.6
+#: Sampled texts (copies included) that a threshold needs; texts longer than all but as many have the one before.
 LONGEST = 64
 #: Trigrams of a text that is long enough for a threshold of its own length.
 SHORT = 128
@@ -116,7 +116,7 @@ def thresholds(near: np.ndarray, size: np.ndarray, copies: np.ndarray) -> tuple[
     least, sizes = [_reached(near, copies)], [0.0]
     for half in range(14, 64):
         own = size >= 2 ** (half / 2)
-        if own.sum() < LONGEST:
+        if copies[own].sum() < LONGEST:
             break
         least.append(_reached(near[own], copies[own]))
         sizes.append(2 ** (half / 2))
