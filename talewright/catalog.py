@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import canonical, content, lookups, records
+from .plans import archived, canonical, content, formats, lookups, records, scalars, stored
 
-MODULES = (canonical, records, lookups, content)
+MODULES = (canonical, records, lookups, content, formats, archived, scalars, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -84,3 +84,12 @@ def event_identity(provider: Column, application: Column, conversation: Column,
 
 def variant_id(event_id: Column, content_fp: Column) -> Column:
     return id_of("ev_", "variant", event_id, content_fp)
+
+
+def session_id(provider: Column, application: Column, native: Column) -> Column:
+    return F.when(native.isNotNull(), id_of("se_", provider, application, native))
+
+
+def machine_id(key: str, platform: str) -> str:
+    """Id of the machine that a key (host name, say) stands for, whatever its case and surrounding blanks."""
+    return f"{platform}/{hash_parts('talewright.machine', key.strip().lower())[:HEX]}"

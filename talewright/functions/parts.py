@@ -60,6 +60,6 @@ def searchable(content: Column) -> Column:
         .when(p["type"] == "tool_call", F.concat_ws(" ", v(p, "name"), v(p, "arguments_json")))
         .when(p["type"] == "tool_result", v(p, "output_json"))
         .when(p["type"] == "opaque", F.concat(F.lit("["), v(p, "kind"), F.lit("] "), v(p, "note")))
-        .otherwise(F.concat_ws(" ", v(p, "filename"), v(p, "path")))
+        .otherwise(F.concat_ws(" ", p["filename"], p["path"]))
     )
     return F.array_join(F.filter(F.transform(content, as_text), lambda s: s != ""), "\n")

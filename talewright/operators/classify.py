@@ -57,7 +57,10 @@ def observations(classified: DataFrame, archived: DataFrame | None = None) -> Da
     rows = rows.dropDuplicates(list(OBSERVATION_KEY))
     if archived is None:
         return rows
-    return rows.join(archived.select("event_id", "source_id", F.coalesce("record_index", F.lit(-1)).alias("record_index"), "parser"), list(OBSERVATION_KEY), "left_anti")
+    known = archived.select("event_id", "source_id", F.coalesce("record_index", F.lit(-1)).alias("record_index"), "parser").distinct()
+    mine = rows.alias("a")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in OBSERVATION_KEY]
+    return mine.join(known.alias("b"), same, "left_anti")
 
 
 def conflicts(classified: DataFrame, archived: DataFrame | None = None) -> DataFrame:

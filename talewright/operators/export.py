@@ -12,46 +12,54 @@ MAX_ANCESTORS = 21
 
 
 def distinct_events(events: DataFrame, *, order: str = "shard_ord") -> DataFrame:
-    """The first record of each event id, in the order of the shards."""
+    """The first record of each event id, in the order of the shards. Ids are counted alone; only records of repeated ones meet."""
+    often = events.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("event_id")
+    often = cut(often, "often")
+    if often.isEmpty():
+        return events
     cols = [c for c in events.columns if c != "event_id"]
-    return events.groupBy("event_id").agg(F.min_by(F.struct(*cols), F.col(order)).alias("r")).select("event_id", "r.*")
+    once = events.join(often, "event_id", "left_anti")
+    first = events.join(often, "event_id", "left_semi").groupBy("event_id").agg(F.min_by(F.struct(*cols), F.col(order)).alias("r")).select("event_id", "r.*")
+    return once.unionByName(first)
 
 
 def with_parents(events: DataFrame) -> DataFrame:
-    """events with parent_event_id: its own, else the first event of its conversation with the native id it names."""
+    """events with parent_event_id: its own, else the first event of its conversation with the native id it names.
+
+    Rows that name no parent take no part in the join.
+    """
     named = events.where("native_id is not null").groupBy("conversation_id", F.col("native_id").alias("parent_native_id")).agg(F.min_by("event_id", "shard_ord").alias("named_parent"))
-    out = events.join(named, ["conversation_id", "parent_native_id"], "left")
-    return out.withColumn("parent_event_id", F.coalesce("parent_event_id", "named_parent")).drop("named_parent")
+    asks = F.col("parent_native_id").isNotNull() & F.col("parent_event_id").isNull()
+    found = events.where(asks).join(named, ["conversation_id", "parent_native_id"], "left").withColumn("parent_event_id", F.col("named_parent"))
+    return found.select(events.columns).unionByName(events.where(~asks))
 
 
 def anchored(events: DataFrame, *, id_col: str = "event_id", parent_col: str = "parent_event_id", ts_col: str = "ts_ns", rank_col: str = "rank", depth: int = MAX_ANCESTORS) -> DataFrame:
     """events with anchor_ns and anchor_rank: the own time, else the nearest timed ancestor's, at most `depth` up.
 
     Ancestors are followed by pointer doubling: after each round a row knows its nearest timed ancestor within twice the
-    distance, or where to go on. Only the untimed rows take part, and cycles end with the distance.
+    distance, or where to go on. Only untimed rows with a parent take part, only those that go on are joined and written
+    again, and cycles end with the distance.
     """
     events = cut(events.withColumn("__own", F.col(ts_col).isNotNull()), "events")
-    # per row: the nearest timed ancestor-or-self found within `reach` steps, its distance, and the row after them
-    state = events.select(
-        F.col(id_col).alias("id"),
-        F.when(F.col("__own"), F.struct(F.col(ts_col).alias("ts"), F.col(rank_col).alias("rank"))).alias("hit"),
-        F.when(F.col("__own"), F.lit(0)).alias("far"),
-        F.when(~F.col("__own"), F.col(parent_col)).alias("next"),
-        F.lit(1).alias("step"),
-    )
-    reach = 1
-    while reach <= depth:
-        other = state.select(F.col("id").alias("next"), F.col("hit").alias("o_hit"), F.col("far").alias("o_far"), F.col("next").alias("o_next"), F.col("step").alias("o_step"))
-        state = state.join(other, "next", "left").select(
+    up = events.where(~F.col("__own") & F.col(parent_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(parent_col).alias("next"))
+    timed = events.where("__own").select(F.col(id_col).alias("next"), F.struct(F.col(ts_col).alias("ts"), F.col(rank_col).alias("rank")).alias("hit"))
+    # per row: the nearest timed ancestor found within `step` steps, or the row after them
+    state = up.join(timed, "next", "left").select("id", "hit", F.when(F.col("hit").isNull(), F.col("next")).alias("next"), F.lit(1).alias("step"))
+    state = cut(state, "anchors")
+    done, pending, reach = state.where("next is null"), state.where("next is not null"), 1
+    while reach <= depth and not pending.isEmpty():
+        other = done.unionByName(pending).select(F.col("id").alias("next"), F.col("hit").alias("o_hit"), F.col("next").alias("o_next"), F.col("step").alias("o_step"))
+        moved = pending.join(other, "next", "left").select(
             "id",
-            F.coalesce("hit", "o_hit").alias("hit"),
-            F.when(F.col("hit").isNotNull(), F.col("far")).otherwise(F.col("step") + F.col("o_far")).alias("far"),
-            F.when(F.col("hit").isNull() & F.col("o_hit").isNull(), F.col("o_next")).alias("next"),
+            F.col("o_hit").alias("hit"),
+            F.col("o_next").alias("next"),
             (F.col("step") + F.coalesce("o_step", F.lit(0))).alias("step"),
         )
-        state = cut(state, "anchors")  # each round uses the last one twice
+        moved = cut(moved, "anchors")
+        done, pending = done.unionByName(moved.where("next is null")), moved.where("next is not null")
         reach *= 2
-    found = state.where((F.col("far") > 0) & (F.col("far") <= depth)).select(F.col("id").alias(id_col), "hit")
+    found = done.where(F.col("hit").isNotNull() & (F.col("step") <= depth)).select(F.col("id").alias(id_col), "hit")
     out = events.join(found, id_col, "left")
     return (
         out.withColumn("anchor_ns", F.when(F.col("__own"), F.col(ts_col)).otherwise(F.col("hit.ts")))

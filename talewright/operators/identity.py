@@ -21,8 +21,11 @@ def by_prefix(df: DataFrame, rules: DataFrame, *, path_col: str, value_col: str,
     rules(ord, prefix, <value_col>). Distinct paths are matched, not rows.
     """
     known = rules.select("ord", normalize_path(F.col("prefix")).alias("prefix"), F.col(value_col).alias("v")).where("prefix != ''")
+    count = known.limit(BROADCAST_RULES + 1).count()
+    if not count:
+        return df.withColumn(into, F.lit(None).cast("string"))
     paths = df.select(F.col(path_col).alias("raw")).where("raw is not null").distinct().withColumn("path", normalize_path(F.col("raw")))
-    if known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+    if count <= BROADCAST_RULES:
         hit = paths.join(F.broadcast(known), path_within(F.col("path"), F.col("prefix")))
     else:
         parts = F.split("path", "/")

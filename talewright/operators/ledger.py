@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import platform_hint
 
 def first_known(col: str, order: str) -> Column:
     """The first value, in order, that isn't null."""
@@ -30,12 +31,12 @@ def sources(runs: DataFrame, *, order: str = "run_ord", counters: tuple[str, ...
 
 
 def conversations(events: DataFrame, *, order: str = "seq") -> DataFrame:
-    """conversation_id with the first known title, model, agent, machine, project, repository and directory, the span of times and the number of events."""
+    """conversation_id with the first known title, model, agent, machine, project, repository and directory, the first and last event's time (in order, not by size) and the number of events."""
     known = [c for c in "agent model title working_directory repository_id project_id machine_id".split() if c in events.columns]
     return events.groupBy("conversation_id").agg(
         *[first_known(c, order).alias(c) for c in known],
-        F.min("ts_ns").alias("started_ns"),
-        F.max("ts_ns").alias("ended_ns"),
+        first_known("ts_ns", order).alias("started_ns"),
+        last_known("ts_ns", order).alias("ended_ns"),
         F.countDistinct("event_id").alias("event_count"),
     )
 
@@ -56,8 +57,44 @@ def rebuild_conversation_sources(events: DataFrame, observation: DataFrame) -> D
     return events.select("event_id", "conversation_id").join(observation.select("event_id", "source_id"), "event_id").select("conversation_id", "source_id").distinct()
 
 
-def unfinished(listing: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows of a listing whose (state_key, fingerprint, parser, version) isn't complete by its last state."""
+def unfinished(listing: DataFrame, state: DataFrame, keys: tuple[str, ...] = ("state_key", "fingerprint", "parser", "version")) -> DataFrame:
+    """Rows of a listing whose keys (of state_key, fingerprint, parser and version) aren't those of its last state, or that isn't complete."""
     last = state.groupBy("state_key").agg(F.max_by(F.struct("fingerprint", "parser", "version", "complete"), "run_ord").alias("s"))
     done = last.where("s.complete").select("state_key", "s.fingerprint", "s.parser", "s.version")
-    return listing.join(done, ["state_key", "fingerprint", "parser", "version"], "left_anti")
+    return listing.join(done.select(*keys), list(keys), "left_anti")
+
+
+def sessions(events: DataFrame, *, order: str = "seq") -> DataFrame:
+    """session_id with its conversation, span of times and number of events; what was said first counts."""
+    return events.where("session_id is not null").groupBy("session_id").agg(
+        first_known("session_native", order).alias("native_id"),
+        first_known("conversation_id", order).alias("conversation_id"),
+        F.min("ts_ns").alias("started_ns"),
+        F.max("ts_ns").alias("ended_ns"),
+        F.countDistinct("event_id").alias("event_count"),
+    )
+
+
+def machines(events: DataFrame, *, order: str = "seq") -> DataFrame:
+    """machine_id with its platform (first known, by the paths seen on it), number of events and paths' drives or roots."""
+    seen = events.where("machine_id is not null").withColumn("platform", F.nullif(platform_hint(F.col("source_path")), F.lit("unknown")))
+    return seen.groupBy("machine_id").agg(
+        first_known("platform", order).alias("platform"),
+        F.sort_array(F.collect_set(F.regexp_extract("source_path", r"^(/[^/]*|[A-Za-z]:)", 1))).alias("evidence"),
+        F.countDistinct("event_id").alias("event_count"),
+    )
+
+
+def artifacts(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """artifact_id with its digest, size, whether its bytes are there, and the events that refer to it."""
+    long = F.filter("content", lambda p: p["truncation"].isNotNull())
+    links = events.select("event_id", F.explode(F.transform(long, lambda p: p["truncation"]["full_sha256"])).alias("sha256")).distinct()
+    by = links.groupBy("sha256").agg(F.sort_array(F.collect_list("event_id")).alias("event_ids"))
+    once = stored.groupBy("artifact_id", "sha256").agg(F.max("size").alias("size"), F.max("copied").alias("copied"), F.min("mime").alias("mime"), F.min("source_path").alias("source_path"))
+    return once.join(by, "sha256", "left")
+
+
+def machine_of(events: DataFrame, conversation: DataFrame) -> DataFrame:
+    """events with machine_id: that of their conversation, if it has one already, before their source's."""
+    known = conversation.select("conversation_id", F.col("machine_id").alias("__m")).where("__m is not null")
+    return events.join(known, "conversation_id", "left").withColumn("machine_id", F.coalesce("__m", "machine_id")).drop("__m")

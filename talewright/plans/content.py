@@ -25,10 +25,6 @@ def markdown_of(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html
     return df.select(id_col, html_col).mapInArrow(run, f"{id_col} {kind}, markdown string")
 
 
-def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown_of(table(spark, sf_dir, "pages"))
-
-
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): each conversation as a file of lines, as a tool would have written it."""
     turns = table(spark, sf_dir, "conversations")
@@ -43,7 +39,7 @@ def imported_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.regexp_extract("source_path", r"(\d+)", 1).cast("long").alias("conv_id"), "seq", "role", F.sha2(F.get("content", F.lit(0))["text"], 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (html_to_markdown, imported_conversations)}
+QUERIES = {f.__name__: f for f in (imported_conversations,)}
 SQL = {
     "imported_conversations": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
         CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai', 'model', 'bot') THEN 'assistant'

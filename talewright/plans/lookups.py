@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import kept
 from ..operators import export, search
 from .records import table
 
@@ -37,24 +38,63 @@ def chronological_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.chronological(user_events(spark, sf_dir)).select("event_id", "grp", "key_ns", "key_rank", "tie", "seq")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(table(spark, sf_dir, "documents"), id_col="doc_id", folded=False)
+def _index(spark: SparkSession, sf_dir: str, folded: bool = False) -> search.Index:
+    """The stored postings of documents, written once for a session and set of tables."""
+
+    def build(folder: str) -> search.Index:
+        search.write_index(table(spark, sf_dir, "documents"), folder, id_col="doc_id", folded=folded)
+        return search.Index(spark, folder)
+
+    return kept(spark, ("index", sf_dir, folded), build)
 
 
 def search_and_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match(_index(spark, sf_dir), [["the"], ["of"], ["pathetic"]]).select(F.col("id").alias("doc_id"))
+    return _index(spark, sf_dir).match([["the"], ["of"], ["pathetic"]]).select(F.col("id").alias("doc_id"))
 
 
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.match(_index(spark, sf_dir), [["of", "the"], ["and", "the"]]).select(F.col("id").alias("doc_id"))
+    return _index(spark, sf_dir).match([["of", "the"], ["and", "the"]]).select(F.col("id").alias("doc_id"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.bm25(_index(spark, sf_dir), [["pathetic"], ["clown"]], limit=20)
+    best = _index(spark, sf_dir).bm25([["pathetic"], ["clown"]], limit=20)
     return best.select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (anchor_untimed, chronological_export, search_and_terms, search_phrase, bm25_topk)}
+def search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query with diacritics and upper case: both sides are folded."""
+    return _index(spark, sf_dir, folded=True).match("\"ÉT\" Où").select(F.col("id").alias("doc_id"))
+
+
+def postings_unstored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings straight from the texts, counted by term; the stored ones are the same."""
+    index = _index(spark, sf_dir)
+    fresh = search.postings(table(spark, sf_dir, "documents"), id_col="doc_id", folded=False).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("texts"))
+    stored = index.by_term.groupBy("term").agg(F.sum(F.size("places")).alias("stored"))
+    return fresh.join(stored, "term", "left").select("term", "n", "texts", "stored")
+
+
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 words of each English text around its first "of", as the snippet shows them."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"[^A-Za-z]+", " ").alias("text"), F.lit(0.0).alias("rank"))
+    shown = search.with_previews(docs.select("id", "rank"), docs.select("id", "text"), "of")
+    return shown.select(F.col("id").alias("doc_id"), "preview")
+
+
+def harness_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the compact export: ties by conversation and session, times of 0 and before count as missing."""
+    e = user_events(spark, sf_dir).withColumn("ts_ns", F.when(F.col("event_id").cast("long") % 9 == 0, F.lit(0)).otherwise(F.col("ts_ns"))).withColumn("session_id", F.concat(F.lit("s"), F.col("conversation_id")))
+    return export.chronological(e, harness=True).select("event_id", "grp", "key_ns", "key_rank", "tie", "seq")
+
+
+def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards that hold every fifth event twice: the first record of an id counts."""
+    e = user_events(spark, sf_dir)
+    again = e.where(F.col("event_id").cast("long") % 5 == 0).withColumn("seq", F.lit(-1).cast("long")).withColumn("shard_ord", F.col("shard_ord") + 1_000_000_000)
+    return export.distinct_events(e.unionByName(again)).select("event_id", "seq")
+
+
+QUERIES = {f.__name__: f for f in (anchor_untimed, chronological_export, search_and_terms, search_phrase, bm25_topk, search_folded, postings_unstored, previews, harness_order, repeated_events)}
 
 _EVENTS = """
   WITH e AS (SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS conversation_id, row_number() OVER w - 1 AS seq,
@@ -70,6 +110,13 @@ SQL = {
     "chronological_export": _EVENTS
     + """SELECT event_id, CASE WHEN anchor_ns IS NULL THEN 1 ELSE 0 END AS grp, coalesce(anchor_ns, 0) AS key_ns, CASE WHEN anchor_ns IS NULL THEN 5 ELSE 0 END AS key_rank,
         CASE WHEN anchor_ns IS NULL THEN conversation_id ELSE '' END AS tie, seq FROM a ORDER BY grp, key_ns, key_rank, tie, seq, event_id""",
+    "search_folded": r"""WITH f AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{Co}]+') AS t FROM documents) SELECT doc_id FROM f WHERE list_contains(t, 'et') AND list_contains(t, 'ou')""",
+    "postings_unstored": _POSTINGS + "SELECT term, count(*) AS n, count(DISTINCT doc_id) AS texts, count(*) AS stored FROM postings GROUP BY term",
+    "previews": r"""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' ') AS w FROM documents WHERE lang = 'en'),
+      p AS (SELECT doc_id, w, greatest(coalesce(list_position(list_transform(w, lambda x: contains(lower(x), 'of')), true), 1) - 1 - 8, 0) AS a FROM d) SELECT doc_id, left(array_to_string(w[a + 1:a + 16], ' '), 400) AS preview FROM p""",
+    "harness_order": _EVENTS.replace("CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) * 1000 END", "CASE WHEN event_id % 3 = 0 AND event_id % 9 <> 0 THEN epoch_us(ts) * 1000 END")
+    + """SELECT event_id, CASE WHEN anchor_ns IS NULL THEN 1 ELSE 0 END AS grp, coalesce(anchor_ns, 0) AS key_ns, CASE WHEN anchor_ns IS NULL THEN 5 ELSE 0 END AS key_rank, conversation_id || '/s' || conversation_id AS tie, seq FROM a""",
+    "repeated_events": _EVENTS + "SELECT event_id, seq FROM e",
     "search_and_terms": _POSTINGS + "SELECT doc_id FROM postings WHERE term IN ('the', 'of', 'pathetic') GROUP BY doc_id HAVING count(DISTINCT term) = 3",
     "search_phrase": _POSTINGS
     + """SELECT DISTINCT a.doc_id FROM postings a JOIN postings b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 AND a.term = 'of' AND b.term = 'the'

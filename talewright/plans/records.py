@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, redact
-from ..functions.ids import conversation_key, hash_of, id_of
+from ..lineage import cut, kept
 from ..operators import classify as C
-from ..operators.ledger import first_known
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,57 +49,57 @@ def observation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.observations(classified(spark, sf_dir)).select(*C.OBSERVATION_KEY)
 
 
-def multi_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = classified(spark, sf_dir).groupBy("stored_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"))
-    return seen.where("n > 1").orderBy(F.desc("n"), "stored_id").limit(500)
-
-
 def accounting_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi").select(F.col("source").alias("source_id"))
     return C.accounting(classified(spark, sf_dir), failed=failed)
 
 
-def coverage_by_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return docs.groupBy(F.coalesce("lang", F.lit("")).alias("parser"), F.coalesce("source", F.lit("")).alias("format")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"), F.sum(F.coalesce("quality", F.lit(0))).cast("long").alias("good"), F.sum(F.coalesce("toxic", F.lit(0))).cast("long").alias("toxic"), F.count("quality").alias("judged")
-    ).orderBy(F.desc("files"), "parser", "format")
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit("\npassword=hunter2secret Authorization: Bearer abc.def-123\nsk-ant-api03-AbCdEfGhIjKlMnOpQr"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", planted.alias("text"))
 
 
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets by kind over documents, with one of each planted behind every hundredth text."""
-    planted = F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit("\npassword=hunter2secret Authorization: Bearer abc.def-123\nsk-ant-api03-AbCdEfGhIjKlMnOpQr"))).otherwise(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", planted.alias("text"))
-    hit = docs.select(F.explode(redact.hits(F.col("text"))).alias("h"))
+    hit = _planted(spark, sf_dir).select(F.explode(redact.hits(F.col("text"))).alias("h"))
     return hit.groupBy(F.col("h.kind").alias("kind")).agg(F.sum("h.count").alias("hits"), F.count(F.lit(1)).alias("texts"))
 
 
-LIMIT = 4096
-
-
-def truncate_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts over LIMIT bytes: the longest prefix of whole characters that fits, and the digest of the full text."""
-    from ..functions.parts import utf8_prefix
+def redacted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts redacted, by columns and by the import's own pass in Python."""
 
-    docs = table(spark, sf_dir, "documents")
-    long = F.octet_length("text") > LIMIT
-    inline = F.when(long, utf8_prefix(F.col("text"), LIMIT)).otherwise(F.col("text"))
-    return docs.select("doc_id", long.alias("truncated"), F.octet_length(inline).cast("long").alias("inline_bytes"), F.octet_length("text").cast("long").alias("full_bytes"), F.when(long, F.sha2("text", 256)).alias("full_sha256"))
+    @F.pandas_udf("string")
+    def scrubbed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redact.scrub(t)[0])
 
+    return _planted(spark, sf_dir).select("doc_id", F.sha2(redact.redacted(F.col("text")), 256).alias("text_sha256"), F.sha2(scrubbed("text"), 256).alias("scrubbed_sha256"))
 
-def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("orphans"))
 
+LIMIT = 4096
 
-def provenance_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left").orderBy("source", "doc_id")
 
+def truncate_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents imported with LIMIT bytes a text: what stays inline, and the bytes of the artifact that holds the whole."""
+    from ..sinks.files import store_artifacts
+    from ..sources import ingest
 
-def conversation_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    role = paths.norm_role(F.col("role"))
-    return turns.withColumn("role", role).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("event_count"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.octet_length("text")).cast("long").alias("text_bytes"), first_known("text", "turn").alias("title")
+    docs = table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    files = docs.select(F.format_string("/d/%d.jsonl", "doc_id").alias("path"), F.encode(line, "UTF-8").alias("content"))
+    drafts = cut(ingest.drafts(files, keep_secrets=True), "drafts")
+
+    def build(folder: str) -> DataFrame:
+        stored = store_artifacts(ingest.spilled(drafts, max_inline=LIMIT).select(F.encode("text", "UTF-8").alias("data")), f"{ingest.local(folder)}/artifacts")
+        stored.agg(F.sum("size")).collect()
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/artifacts")
+        return found.select(F.regexp_extract("path", "([0-9a-f]{64})$", 1).alias("name"), F.sha2("content", 256).alias("sha"), F.col("length").alias("stored_bytes"))
+
+    blobs = kept(spark, ("spill", sf_dir), build)
+    part = F.get("content", F.lit(0))
+    about = part["truncation"]
+    e = ingest.events(drafts, max_inline=LIMIT).select(F.regexp_extract("source_path", r"(\d+)", 1).cast("long").alias("doc_id"), part["text"].alias("text"), about["full_sha256"].alias("full_sha256"), about["full_bytes"].alias("cut_bytes"))
+    return e.join(blobs.where("name = sha"), F.col("full_sha256") == F.col("sha"), "left").select(
+        "doc_id", F.col("full_sha256").isNotNull().alias("truncated"), F.octet_length("text").cast("long").alias("inline_bytes"), F.coalesce("cut_bytes", F.octet_length("text").cast("long")).alias("full_bytes"), "full_sha256", "stored_bytes"
     )
 
 
@@ -107,13 +107,6 @@ def role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(paths.norm_role(F.col("role")).alias("role")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
 
 
-def parent_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn with the previous turn of its conversation, by a left join on both keys."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min(F.sha2("text", 256)).alias("event"))
-    parent = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("event").alias("parent"))
-    return turns.join(parent, ["conv_id", "turn"], "left")
-
-
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(F.min("ts").cast("string").alias("first_ts"), F.max("ts").cast("string").alias("last_ts"), F.count("ts").alias("timed"), F.count_if(F.col("ts").isNull()).alias("untimed"))
@@ -135,14 +128,11 @@ def project_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.regexp_replace(remote, r"^www\.", "").alias("project")).agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page"), F.sum(F.octet_length("html")).cast("long").alias("bytes"))
 
 
-def latest_wins_first_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last record of each key stands at the key's first position."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max_by("value", "event_id").alias("value"), F.min("event_id").alias("position"))
-
-
 def running_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last page seen so far by each user (a page_view's value), carried onto later events."""
+    """What a stateful parser carries: the value of the user's last event whose number is divisible by three, onto later events.
+
+    A user's events are one task's, as a session file's records are.
+    """
     e = table(spark, sf_dir, "events")
     w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     return e.select("event_id", "user_id", F.last(F.when(F.col("event_id") % 3 == 0, F.col("value")), ignorenulls=True).over(w).alias("state"))
@@ -153,16 +143,27 @@ def occurrence_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", (F.row_number().over(w) - 1).cast("long").alias("occurrence"))
 
 
-def blake3_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    key = conversation_key(F.lit("test"), F.lit("table"), F.col("conv_id").cast("string"), F.lit(None).cast("string"), [])
-    return turns.select("conv_id", "turn", key.alias("conversation_id"), hash_of(F.col("role"), F.col("text")).alias("content_fp"), id_of("ev_", "test", "table", "coord", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("event_id"))
-
-
-QUERIES = {f.__name__: f for f in (classify_duplicates, conflict_variants, observation_dedup, multi_observed, accounting_identity, coverage_by_parser, redaction_counts, truncate_spill, orphan_check, provenance_left_join, conversation_aggregate, role_histogram, parent_resolution, date_range, epoch_units, project_rollup, latest_wins_first_position, running_state, occurrence_number, blake3_ids)}
+QUERIES = {f.__name__: f for f in (classify_duplicates, conflict_variants, observation_dedup, accounting_identity, redaction_counts, redacted_texts, truncate_spill, role_histogram, date_range, epoch_units, project_rollup, running_state, occurrence_number)}
 
 _ROLE = """CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'ai', 'model', 'bot') THEN 'assistant'
   WHEN lower(trim(role)) IN ('tool', 'tool_result', 'function') THEN 'tool' WHEN lower(trim(role)) IN ('system', 'developer') THEN lower(trim(role)) ELSE 'other' END"""
+
+
+def _redaction_sql() -> str:
+    """redact.KINDS as a chain of replacements: each step counts its kind in what the ones before left."""
+    steps = ["d0 AS (SELECT doc_id, CASE WHEN doc_id % 100 = 0 THEN text || chr(10) || 'password=hunter2secret Authorization: Bearer abc.def-123' || chr(10) || 'sk-ant-api03-AbCdEfGhIjKlMnOpQr' ELSE text END AS t FROM documents)"]
+    counts = []
+    for k, (kind, pattern) in enumerate(redact.KINDS):
+        own = pattern.replace("'", "''")
+        mark = f"[REDACTED:{kind}]"
+        if kind == "url_credentials":  # there is no look-around there
+            own, mark = r"(://)[^/\s:@]+:[^/\s:@]+(@)", rf"\1{mark}\2"
+        counts.append(f"SELECT '{kind}' AS kind, len(regexp_extract_all(t, '{own}')) AS n FROM d{k}")
+        steps.append(f"d{k + 1} AS (SELECT doc_id, regexp_replace(t, '{own}', '{mark}', 'g') AS t FROM d{k})")
+    return f"WITH {', '.join(steps)}", " UNION ALL ".join(counts), f"d{len(redact.KINDS)}"
+
+
+_STEPS, _COUNTS, _LAST = _redaction_sql()
 _CLASSIFIED = """
   WITH arrivals AS (SELECT doc_id AS ord, sha256(lower(substr(text, 1, 40))) AS event_id, sha256(text) AS content_fp, source AS source_id,
       CASE WHEN doc_id % 3 <> 0 THEN doc_id % 5 END AS record_index, lang AS parser FROM documents),
@@ -176,28 +177,20 @@ SQL = {
     "classify_duplicates": _CLASSIFIED + "SELECT ord, stored_id, status, variant_of FROM classified",
     "conflict_variants": _CLASSIFIED + "SELECT DISTINCT event_id, stored_id AS variant_event_id, content_fp, source_id FROM classified WHERE variant_of IS NOT NULL",
     "observation_dedup": _CLASSIFIED + "SELECT DISTINCT stored_id AS event_id, source_id, coalesce(record_index, -1) AS record_index, parser FROM classified",
-    "multi_observed": _CLASSIFIED + "SELECT stored_id, count(*) AS n, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources FROM classified GROUP BY stored_id HAVING count(*) > 1 ORDER BY n DESC, stored_id LIMIT 500",
     "accounting_identity": _CLASSIFIED
     + """, outcomes AS (SELECT source_id, CASE WHEN status IN ('new', 'variant_new') THEN 'imported' ELSE 'duplicate' END AS outcome FROM classified
         UNION ALL SELECT source, 'failed' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
       SELECT source_id, count(*) AS examined, count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'duplicate') AS duplicate,
         0::BIGINT AS skipped, count(*) FILTER (outcome = 'failed') AS failed, true AS balanced FROM outcomes GROUP BY source_id""",
-    "coverage_by_parser": """SELECT coalesce(lang, '') AS parser, coalesce(source, '') AS format, count(*) AS files, sum(n_chars)::BIGINT AS chars, sum(coalesce(quality, 0))::BIGINT AS good,
-        sum(coalesce(toxic, 0))::BIGINT AS toxic, count(quality) AS judged FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2 ORDER BY files DESC, parser, format""",
-    "orphan_check": "SELECT source, count(*) AS orphans FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source",
-    "truncate_spill": f"""SELECT doc_id, strlen(text) > {LIMIT} AS truncated, strlen(text)::BIGINT AS full_bytes, CASE WHEN strlen(text) > {LIMIT} THEN sha256(text) END AS full_sha256,
+    "redaction_counts": f"{_STEPS} SELECT kind, sum(n)::BIGINT AS hits, count(*) AS texts FROM ({_COUNTS}) WHERE n > 0 GROUP BY kind",
+    "redacted_texts": f"{_STEPS} SELECT doc_id, sha256(t) AS text_sha256, sha256(t) AS scrubbed_sha256 FROM {_LAST}",
+    "truncate_spill": f"""SELECT doc_id, strlen(text) > {LIMIT} AS truncated, strlen(text)::BIGINT AS full_bytes, CASE WHEN strlen(text) > {LIMIT} THEN sha256(text) END AS full_sha256, CASE WHEN strlen(text) > {LIMIT} THEN strlen(text) END AS stored_bytes,
         CASE WHEN strlen(text) <= {LIMIT} THEN strlen(text) ELSE (SELECT max(b) FROM (SELECT unnest([0, 1, 2, 3]) AS back, {LIMIT} - back AS b)
           WHERE substr(hex(encode(text)), 2 * b + 1, 1) NOT IN ('8', '9', 'A', 'B')) END::BIGINT AS inline_bytes FROM documents""",
-    "provenance_left_join": "SELECT doc_id, source, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) ORDER BY source, doc_id",
-    "conversation_aggregate": f"""SELECT conv_id, count(*) AS event_count, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER ({_ROLE} = 'user') AS user_turns,
-        sum(strlen(text))::BIGINT AS text_bytes, arg_min(text, turn) AS title FROM conversations GROUP BY conv_id""",
     "role_histogram": f"SELECT {_ROLE} AS role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1",
-    "parent_resolution": """WITH t AS (SELECT conv_id, turn, min(sha256(text)) AS event FROM conversations GROUP BY 1, 2)
-        SELECT t.conv_id, t.turn, t.event, p.event AS parent FROM t LEFT JOIN t p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1""",
     "date_range": "SELECT event_type, min(ts)::VARCHAR AS first_ts, max(ts)::VARCHAR AS last_ts, count(ts) AS timed, count(*) FILTER (ts IS NULL) AS untimed FROM events GROUP BY event_type",
     "epoch_units": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000000 WHEN 1 THEN epoch_us(ts) // 1000 * 1000000 ELSE epoch_us(ts) * 1000 END AS ts_ns FROM events""",
     "project_rollup": r"""SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') AS project, count(*) AS pages, min(page_id) AS first_page, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1""",
-    "latest_wins_first_position": "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, min(event_id) AS position FROM events GROUP BY user_id",
     "running_state": "SELECT event_id, user_id, last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS state FROM events",
     "occurrence_number": "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS occurrence FROM events",
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
+import itertools
 import json
 import os
 import tarfile
@@ -40,6 +42,73 @@ def write_atomic(path: str | Path, data: bytes) -> None:
         part.unlink(missing_ok=True)
 
 
+class _Hashing:
+    """A file that is hashed as it is written."""
+
+    def __init__(self, f):
+        self.f, self.sha = f, hashlib.sha256()
+
+    def write(self, data: bytes) -> int:
+        self.sha.update(data)
+        return self.f.write(data)
+
+    def flush(self) -> None:
+        self.f.flush()
+
+
+def stream_lines(lines: Iterator[str], folder: str, name: str, level: int = 9) -> tuple[str, int, str]:
+    """Lines into a compressed file that is renamed to <name>-<digest>.jsonl.zst once it is whole; gives (path, lines, sha256)."""
+    import zstandard
+
+    os.makedirs(folder, exist_ok=True)
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}.part"
+    count = 0
+    try:
+        with open(part, "wb") as f:
+            out = _Hashing(f)
+            with zstandard.ZstdCompressor(level=level).stream_writer(out, closefd=False) as z:
+                for line in lines:
+                    z.write(line.encode() + b"\n")
+                    count += 1
+            f.flush()
+            os.fsync(f.fileno())
+        path = f"{folder}/{name}-{out.sha.hexdigest()[:16]}.jsonl.zst"
+        os.replace(part, path)
+        return path, count, out.sha.hexdigest()
+    finally:
+        Path(part).unlink(missing_ok=True)
+
+
+def compressed(target: str, *, harness: bool, flag: bool | None = None) -> bool:
+    """Whether an export is compressed: as told, else by the target's name; the harness's files are, standard output isn't."""
+    if flag is not None:
+        return flag
+    return target != "-" and (target.endswith((".zst", ".zstd")) or harness)
+
+
+def write_single(df: DataFrame, target: str, *, compress: bool) -> int:
+    """The one string column of an ordered frame as one file, or to standard output ("-"); partitions are fetched one after the other."""
+    rows = (r[0] for r in df.toLocalIterator(prefetchPartitions=True))
+    if target == "-":
+        n = 0
+        for n, line in enumerate(rows, 1):
+            print(line)
+        return n
+    import zstandard
+
+    part = Path(target).with_name(f".{Path(target).name}.{uuid.uuid4().hex}.part")
+    part.parent.mkdir(parents=True, exist_ok=True)
+    n = 0
+    try:
+        with open(part, "wb") as f, zstandard.ZstdCompressor(level=9).stream_writer(f, closefd=False) if compress else contextlib.nullcontext(f) as out:
+            for n, line in enumerate(rows, 1):
+                out.write(line.encode() + b"\n")
+        os.replace(part, target)
+    finally:
+        part.unlink(missing_ok=True)
+    return n
+
+
 def write_shards(df: DataFrame, folder: str, *, level: int = 9) -> DataFrame:
     """df as .jsonl.zst shards with sorted keys, one for each partition; gives (path, records, sha256).
 
@@ -48,21 +117,14 @@ def write_shards(df: DataFrame, folder: str, *, level: int = 9) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        out, count = io.BytesIO(), 0
-        with zstandard.ZstdCompressor(level=level).stream_writer(out, closefd=False) as z:
-            for b in batches:
-                for row in b.column(0).to_pylist():
-                    value = json.loads(row)
-                    z.write((json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n").encode())
-                    count += 1
-        if count:
-            data = out.getvalue()
-            sha = hashlib.sha256(data).hexdigest()
-            path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{sha[:16]}.jsonl.zst"
-            write_atomic(path, data)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([sha])], names=["path", "records", "sha256"])
+        rows = (row for b in batches for row in b.column(0).to_pylist())
+        first = next(rows, None)
+        if first is None:
+            return
+        sorted_json = lambda row: json.dumps(json.loads(row), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        name = f"part-{TaskContext.get().partitionId():06d}"
+        path, count, sha = stream_lines((sorted_json(r) for r in itertools.chain([first], rows)), folder, name, level)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([sha])], names=["path", "records", "sha256"])
 
     return df.select(F.to_json(F.struct("*")).alias("j")).mapInArrow(run, "path string, records long, sha256 string")
 

@@ -115,15 +115,62 @@ PARSERS: tuple[Parser, ...] = (
 )
 BY_ID = {p.id: p for p in PARSERS}
 
-#: Files that are listed but not imported: (pattern of the path, format, why).
-UNSUPPORTED: tuple[tuple[str, str, str], ...] = (
-    (r"(^|/)(user|users|projects|memories|shared_conversations|message_feedback|model_comparisons)\.json$", "export_side_file", "no messages"),
-    (r"(^|/)chat\.html$", "chatgpt_html", "the JSON beside it is imported"),
-    (r"(^|/)\.claude/(todos|statsig|shell-snapshots|plugins|ide)/", "claude_code_state", "no messages"),
-    (r"(^|/)\.codex/(auth|config|version)\.(json|toml)$", "codex_state", "no messages"),
-    (r"(^|/)history\.jsonl$", "prompt_history", "prompts without conversations"),
-    (r"\.pb$", "protobuf_store", "the format isn't published"),
-    (r"(^|/)CURRENT$|(^|/)MANIFEST-\d+$|\.ldb$", "leveldb", "listed as unresolved"),
+#: Files that are listed but not imported: (pattern of the path, signs in the head or none, format, why). The first that fits counts.
+UNSUPPORTED: tuple[tuple[str, bytes | None, str, str], ...] = (
+    (r"\.(db|sqlite3?|vscdb)-(wal|shm|journal)$", None, "sqlite_companion", "read together with its database"),
+    (r"(^|/)CURRENT$|(^|/)MANIFEST-\d+$|\.(ldb|sst)$", None, "leveldb", "listed as unresolved"),
+    (r"(^|/)\.claude/(todos|statsig|shell-snapshots|plugins|ide|file-history|debug|session-env)/", None, "claude_code_state", "no messages"),
+    (r"(^|/)\.claude/projects/.*/(tool-results|memory)/", None, "claude_code_side_file", "kept beside a session, which has the reference"),
+    (r"(^|/)\.claude/projects/.*\.meta\.json$", None, "claude_code_meta", "a side agent's description"),
+    (r"(^|/)sessions-index\.json$", None, "claude_code_index", "an index of sessions"),
+    (r"(^|/)\.claude/(settings|\.?credentials|stats-cache)[^/]*\.json$", None, "claude_code_settings", "settings or credentials"),
+    (r"(^|/)\.codex/(auth|config|version|models_cache|internal_storage)\.(json|toml)$", None, "codex_state", "no messages"),
+    (r"(^|/)session_index\.jsonl$", None, "codex_index", "an index of sessions"),
+    (r"(^|/)history\.jsonl$", None, "prompt_history", "prompts without conversations"),
+    (r"\.pb$", None, "protobuf_store", "the format isn't published"),
+    (r"(^|/)\.gemini/antigravity[^/]*/.*/(implementation_plan|task|walkthrough)[^/]*\.md(\.|$)", None, "antigravity_document", "a document that the agent wrote"),
+    (r"(^|/)\.gemini/antigravity[^/]*/.*\.(png|webp|jpe?g|webm)$", None, "antigravity_media", "a picture or recording"),
+    (r"(^|/)\.gemini/antigravity[^/]*/.*transcript\.jsonl$", None, "antigravity_short_transcript", "the full transcript beside it is imported"),
+    (r"(^|/)\.gemini/antigravity[^/]*/(knowledge|annotations|code_tracker|implicit|context_state|browser_recordings)/", None, "antigravity_state", "no messages"),
+    (r"(^|/)\.gemini/.*(logs|checkpoint[^/]*)\.json$", None, "gemini_cli_log", "prompts or checkpoints without a conversation"),
+    (r"(^|/)\.project_root$", None, "gemini_cli_marker", "the path of a project"),
+    (r"(^|/)\.minimax/.*/(manifest|meta|index|state)\.json$", None, "minimax_state", "a session's description"),
+    (r"(^|/)\.minimax/.*\.(log|tmp|lock)$", None, "minimax_log", "a log or lock"),
+    (r"(^|/)\.minimax/.*/(skills|agents|mcp|cache|attachments)/", None, "minimax_assets", "assets, no messages"),
+    (r"(^|/)\.dsh/.*/(state|meta|config|index)\.json$", None, "deepseek_state", "a session's description"),
+    (r"(^|/)\.dsh/.*\.(log|lock|tmp)$", None, "deepseek_log", "a log or lock"),
+    (r"(^|/)\.hermes/(config\.ya?ml|\.env|auth\.json)$", None, "hermes_settings", "settings or credentials"),
+    (r"(^|/)\.hermes/(skills|memories|cron|logs|cache)/", None, "hermes_state", "no messages"),
+    (r"(^|/)opencode/(auth|mcp-auth)\.json$", None, "opencode_settings", "credentials"),
+    (r"(^|/)opencode/(log|snapshot|bin|tool-output)/", None, "opencode_state", "no messages"),
+    (r"(^|/)opencode/storage/(session_diff|todo|project|migration)", None, "opencode_side_file", "no messages"),
+    (r"(^|/)AnthropicClaude/(app-[^/]*|packages)(/|$)", None, "desktop_installation", "files of an installation"),
+    (r"\.(xlsx|pptx|docx)(!?/)", None, "office_part", "a part of an office document"),
+    (r"(^|/)NotebookLM/", None, "takeout_notebook", "a notebook's sources"),
+    (r"(^|/)gemini_[^/]*\.html$", None, "takeout_side_file", "a listing of gems or scheduled actions"),
+    (r"(^|/)conversation_[^/]*_turn_[^/]*_images_[^/]*$", None, "takeout_image", "a conversation keeps the reference"),
+    (r"gemini apps/(?!.*myactivity\.(html|json)$)", None, "takeout_attachment", "cards refer to it"),
+    (r"(^|/)perplexity[^/]*/.*(collections|spaces|profile|settings)\.json$", None, "perplexity_side_file", "no conversations"),
+    (r"(^|/)conversations(-\d+)?\.json$", None, "unknown_web_export", "conversations of an unknown form"),
+    (r"(^|/)manifest-[^/]*\.json$", b'"data_files"', "claude_export_manifest", "a list of the export's parts"),
+    (r"(^|/)memories/", b'"memory_files"', "claude_export_memories", "memories, no messages"),
+    (r"(^|/)projects/", b'"prompt_template"', "claude_export_projects", "definitions of projects"),
+    (r"(^|/)reflections/", b'"reflections"', "claude_export_feedback", "feedback"),
+    (r"(^|/)artifacts/(.*/)?(artifact\.json|[^/]*\.html)$", None, "claude_export_frames", "versions of a document"),
+    (r"(^|/)login_history\.json$", b'"login_events"', "claude_export_account", "account data"),
+    (r"(^|/)export_manifest\.json$", b'"export_files"', "chatgpt_export_manifest", "a list of the export's files"),
+    (r"(^|/)export_manifest\.json$", b'"logical_files"', "chatgpt_export_manifest", "a list of the export's files"),
+    (r"(^|/)sites/(.*/)?export_manifest\.json$", None, "chatgpt_export_manifest", "a list of sites"),
+    (r"(^|/)ads\.json$", b'"ads_profile"', "chatgpt_export_account", "account data"),
+    (r"(^|/)(user_settings|user)\.json$", None, "chatgpt_export_account", "account data"),
+    (r"(^|/)library_files\.json$", b'"file_id"', "chatgpt_export_library", "conversations keep the references"),
+    (r"(^|/)(conversation_asset_file_names|sectioned_conversations)\.json$", None, "chatgpt_export_index", "an index"),
+    (r"(^|/)chat\.html$", None, "chatgpt_html", "the JSON beside it is imported"),
+    (r"(^|/)(message_feedback|shared_conversations|model_comparisons)\.json$", None, "chatgpt_export_side_file", "feedback or sharing"),
+    (r"(^|/)(projects|users|memories)\.json$", None, "export_side_file", "no messages"),
+    (r"(^|/)file[-_][^/]*\.(png|jpe?g|webp|gif|pdf|txt|wav|mp3|dat)$", None, "chatgpt_export_attachment", "conversations keep the reference"),
+    (r"(^|/)Cursor/User/.*state\.vscdb$", None, "cursor_store", "the format isn't published"),
+    (r"(^|/)(Cache|Code Cache|GPUCache|Service Worker|IndexedDB)/", None, "browser_store", "a browser's store"),
 )
 
 
@@ -133,5 +180,7 @@ def detect(path: str, head: bytes, only: str | None = None) -> list[tuple[Parser
     return sorted(((p, s) for p in own if (s := p.detect(path, head[:PROBE])) > NONE), key=lambda x: -x[1])
 
 
-def unsupported(path: str) -> tuple[str, str] | None:
-    return next(((kind, why) for pattern, kind, why in UNSUPPORTED if re.search(pattern, path.replace("\\", "/"), re.I)), None)
+def unsupported(path: str, head: bytes = b"") -> tuple[str, str] | None:
+    """(format, why) of a known file that isn't imported."""
+    plain = path.replace("\\", "/")
+    return next(((kind, why) for pattern, signs, kind, why in UNSUPPORTED if re.search(pattern, plain, re.I) and (signs is None or signs in head[:PROBE])), None)

@@ -6,27 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import classify
+from ..archive import Archive
 from ..sources import ingest
 
 
 def stream(spark: SparkSession, folder: str, archive: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Append new events of files that appear in `folder` to the table `archive`/events.
+    """Import files that appear in `folder` into an archive: events, observations, conflicts and accounts, a run for each batch.
 
-    A batch that is repeated after a failure adds nothing: its events are in the archive already or not at all, as
-    the table's commit is one.
+    A batch that is repeated after a failure adds nothing: its run is published as a whole or not at all, and published runs are passed over.
     """
 
     def batch(files: DataFrame, number: int) -> None:
-        e = ingest.events(ingest.drafts(files)).withColumn("ord", F.struct("source_path", "chain", "place"))
-        try:
-            known = spark.read.parquet(f"{archive}/events").select("event_id", "content_fp")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = None
-        done = classify.classify(e, known).where(F.col("status").isin("new", "variant_new"))
-        done.withColumn("event_id", F.col("stored_id")).withColumn("batch", F.lit(number)).drop("ord", "stored_id", "status", "base_fp").write.mode("append").parquet(f"{archive}/events")
+        own, run = Archive(spark, archive), f"batch-{number:09d}"
+        if run not in own.runs():
+            own.take(ingest.drafts(files), run=run)
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     files = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
