@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import shared_dir
+
 #: ASCII white space, the word separators of the word-based operators.
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of one Arrow batch that are worked on at a time inside a Python worker.
@@ -31,17 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where is None:
-        where = tempfile.mkdtemp(prefix="talewright-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.sparkContext._conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def local_path(uri: str) -> str:
     """File-system path of a folder on a mounted share; other schemes need a mount of their own."""
     if uri.startswith("file:"):
@@ -52,14 +42,20 @@ def local_path(uri: str) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one; it goes when the driver ends."""
+    """A fresh folder below the shared one (see lineage.shared_dir); it goes when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
         if path.startswith(("file:", "/")):
             shutil.rmtree(local_path(path), ignore_errors=True)
-
-    atexit.register(drop)
+        elif spark.sparkContext._jsc is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+    if path.startswith(("file:", "/")):
+        atexit.register(drop)
+    else:
+        drop()  # at the end of the driver's JVM
     return path
 
 

@@ -10,13 +10,15 @@ of bytes.
 
 1. Anchors that occur once are dropped: counts are added up before they are shuffled, and then joined to the
    anchors, where adaptive execution splits a hot one.
-2. A stretch that occurs twice as a whole is settled: all of it repeats. Only stretches that differ from
-   all others of their anchor are sorted, against one copy of each other stretch.
-3. Suffixes of an anchor are sorted deep-shallow: multikey quicksort by 8-byte signs to a shallow depth, all
-   groups of a batch at once; groups that still agree go into blind tries, which find the length of the
-   common prefix with one comparison. A common prefix of `length` bytes is a repeat.
+2. A stretch that occurs twice as a whole is settled by its 128-bit digest: all of it repeats, and one copy stands for it.
+   Only stretches that differ from all others of their anchor are sorted, against one copy of each other stretch.
+3. Suffixes of an anchor are sorted deep-shallow: multikey quicksort by 8-byte signs (below, equal to and above a pivot; only
+   the equal part goes deeper) to a shallow depth, all groups of a batch at once; groups that still agree go into blind tries, which
+   give their order and common prefixes. A common prefix of `length` bytes is a repeat.
 4. An anchor with more than `hot` different stretches (a boilerplate line between texts that all differ) isn't
-   gathered in a task: its windows are counted by 128-bit digest instead, added up before the shuffle.
+   gathered in a task: its windows are parted by a deeper string. Each has at least half of the bytes outside the anchor either
+   behind or before it; with those the anchor is longer, and equal windows still meet. Stretches that are equal then are settled,
+   byte by byte; what is still hot is parted again, until the anchor is the whole window. The rest goes to the same sorter.
 
 Cases: a null or empty text, or one under `length` bytes, loses nothing. Repeated rows are repeats of each other. Very
 long texts are anchored in segments, which may split a stretch but no window. An empty table gives an empty result.
@@ -86,22 +88,27 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple
     return starts[first], count, hashes[at[first]], at[first]
 
 
+def _packed(start: np.ndarray, windows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A stretch's start in its text, its number of windows and its anchor's place in it (both at most LENGTH - ANCHOR + 1) as one number."""
+    return (start << 16) | (windows << 8) | place
+
+
 def _rows(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[list[np.ndarray], ...]:
-    """Row, start in its text, windows, anchor and digest of each stretch; long texts go by segments."""
-    out: tuple[list, ...] = ([], [], [], [], [])
+    """Row, start, windows and anchor's place (packed), anchor and digest (two halves) of each stretch; long texts go by segments."""
+    out: tuple[list, ...] = ([], [], [], [])
     if len(ends) == 2 and len(data) > SEGMENT + length:
         pieces = [(a, data[a : a + SEGMENT + length - 1], np.array([0, min(SEGMENT + length - 1, len(data) - a)])) for a in range(0, len(data), SEGMENT)]
     else:
         pieces = [(0, data, ends)]
     for base, part, stops in pieces:
-        start, count, anchor, _ = stretches(part, stops, length)
+        start, count, anchor, place = stretches(part, stops, length)
         if not len(start):
             continue
         view = memoryview(np.ascontiguousarray(part))
-        digest = xxhash.xxh3_64_intdigest
-        digests = [digest(view[a:b]) for a, b in zip(start.tolist(), (start + count - 1 + length).tolist())]
+        digest = xxhash.xxh3_128_digest
+        digests = b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), (start + count - 1 + length).tolist())])
         row = np.searchsorted(stops, start, side="right") - 1
-        for o, x in zip(out, (row, start - stops[row] + base, count, anchor.view(np.int64), np.array(digests, dtype=np.uint64).view(np.int64))):
+        for o, x in zip(out, (row, _packed(start - stops[row] + base, count, place - start), anchor.view(np.int64), np.frombuffer(digests, dtype=np.int64).reshape(-1, 2))):
             o.append(x)
     return out
 
@@ -124,26 +131,26 @@ class _Trie:
         self.root: tuple | None = None
         self.length = length
 
-    def add(self, text: bytes, value: int) -> int | None:
-        """Insert, or give the value of the equal string that is there."""
+    def add(self, text: bytes, value: int) -> None:
         number = int.from_bytes(text, "big")
         if self.root is None:
-            self.root = (self.length, text, number, value)
-            return None
+            self.root = (self.length, text, number, [value])
+            return
         node = self.root
         while type(node) is list:  # blind: only the branching bytes are looked at
             node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
         differ = node[2] ^ number
         if not differ:
-            return node[3]
+            node[3].append(value)
+            return
         depth = self.length - (differ.bit_length() + 7) // 8
-        leaf = (self.length, text, number, value)
+        leaf = (self.length, text, number, [value])
         parent, node = None, self.root
         while type(node) is list and node[0] < depth:
             parent, node = node, node[1][text[node[0]]]
         if type(node) is list and node[0] == depth:
             node[1][text[depth]] = leaf
-            return None
+            return
         other = node
         while type(other) is list:
             other = next(iter(other[1].values()))
@@ -152,41 +159,109 @@ class _Trie:
             self.root = branch
         else:
             parent[1][text[parent[0]]] = branch
-        return None
 
-
-def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
-    """Which of the suffixes agree in `length` bytes with another of their group (deep-shallow sorting)."""
-    found = np.zeros(len(starts), dtype=bool)
-    order = np.arange(len(starts))
+    def walk(self) -> tuple[list[int], list[int]]:
+        """The values in the order of their strings, and the bytes that each string has in common with the one before."""
+        values, common = [], []
+        stack = [(0, self.root)]
+        while stack:
+            shared, node = stack.pop()
+            if type(node) is list:
+                children = [node[1][k] for k in sorted(node[1])]
+                stack += [(node[0], c) for c in reversed(children[1:])]
+                stack.append((shared, children[0]))
+            else:
+                values += node[3]
+                common += [shared] + [self.length] * (len(node[3]) - 1)
+        return values, common
+
+
+def _runs(sorted_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each run of equal ids."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+    return first, np.diff(np.append(first, len(sorted_ids)))
+
+
+def _quicksort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Multikey quicksort of the suffixes of each group to a shallow depth: the order, and (first place, size) of the groups that still agree.
+
+    All segments of the order are worked on at once. A segment is parted by a pivot, the median of three signs of 8 bytes, into
+    what lies below, what has that sign and what lies above; only the middle part goes on to the next sign.
+    """
+    order = np.argsort(group, kind="stable")
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    depth = 0
-    while len(order) and depth < shallow:
-        at = starts[order] + depth
-        sign = np.zeros(len(order), dtype=np.uint64)
+    at, depth, deep = np.arange(len(order)), np.zeros(len(order), dtype=np.int64), []
+    segment = group[order]
+    while len(at):
+        first, size = _runs(segment)
+        many = np.repeat(size > 1, size)  # a suffix by itself is in its place
+        done = many & (depth >= shallow)
+        if done.any():
+            f, n = _runs(segment[done])
+            deep.append((at[done][f], n))
+            many &= ~done
+        at, depth, segment = at[many], depth[many], segment[many]
+        if not len(at):
+            break
+        first, size = _runs(segment)
+        where = starts[order[at]] + depth
+        sign = np.zeros(len(at), dtype=np.uint64)
         for k in range(8):
-            sign = (sign << np.uint64(8)) | padded[at + k].astype(np.uint64)
-        by = np.lexsort((sign, group[order]))
-        order, sign = order[by], sign[by]
-        g = group[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (sign[1:] != sign[:-1])])
-        number = np.cumsum(new) - 1
-        group = group.copy()
-        group[order] = number
-        order = order[np.bincount(number)[number] > 1]  # a suffix by itself is done
-        depth += 8
-    if not len(order):
-        return found
+            sign = (sign << np.uint64(8)) | padded[where + k].astype(np.uint64)
+        three = np.sort(np.stack([sign[first], sign[first + size // 2], sign[first + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        part = (sign >= pivot).astype(np.int64) + (sign > pivot)
+        key = np.repeat(np.arange(len(first)) * 3, size) + part
+        ends = np.cumsum(np.bincount(key, minlength=3 * len(first)))
+        to = np.empty(len(at), dtype=np.int64)
+        for p in range(3):  # stable within each part
+            own = np.flatnonzero(part == p)
+            if len(own):
+                f, n = _runs(key[own])
+                to[own] = np.arange(len(own)) + np.repeat(ends[key[own][f]] - n - f, n)
+        moved, segment, deeper = np.empty_like(at), np.empty_like(key), np.empty_like(depth)
+        moved[to], segment[to], deeper[to] = order[at], key, depth + 8 * (part == 1)
+        order[at], depth = moved, deeper
+    return order, deep
+
+
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Deep-shallow sorting of suffixes by group and their first `length` bytes.
+
+    Gives the order and how many bytes each suffix has in common with the one before in its group, where those are
+    `shallow` or more, else 0.
+    """
+    order, deep = _quicksort(data, starts, group, shallow)
+    common = np.zeros(len(order), dtype=np.int64)
     whole = data.tobytes()
-    order = order[np.argsort(group[order], kind="stable")]
-    g = group[order].tolist()
-    last, trie = None, _Trie(length)
-    for k, (i, s) in enumerate(zip(order.tolist(), starts[order].tolist())):
-        if g[k] != last:
-            last, trie = g[k], _Trie(length)
-        same = trie.add(whole[s : s + length], i)
-        if same is not None:
-            found[i] = found[same] = True
+    for first, size in deep:
+        two = first[size == 2]  # a trie of two leaves is one comparison
+        for k in range(0, len(two), 8192):
+            at = two[k : k + 8192]
+            reach = np.arange(shallow, length)
+            a, b = (data[starts[order[x]][:, None] + reach] for x in (at, at + 1))
+            differ = a != b
+            place = differ.argmax(axis=1)
+            equal = ~differ[np.arange(len(at)), place]
+            common[at + 1] = np.where(equal, length, shallow + place)
+            swap = at[~equal & (a[np.arange(len(at)), place] > b[np.arange(len(at)), place])]
+            order[swap], order[swap + 1] = order[swap + 1], order[swap]
+        for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            trie = _Trie(length)
+            for i in order[f : f + n].tolist():
+                s = starts[i]
+                trie.add(whole[s : s + length], i)
+            order[f : f + n], shared = trie.walk()
+            common[f + 1 : f + n] = shared[1:]
+    return order, common
+
+
+def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
+    """Which of the suffixes agree in `length` bytes with another of their group: those with a neighbour that does."""
+    order, common = sorted_suffixes(data, starts, group, length, shallow)
+    found = np.zeros(len(starts), dtype=bool)
+    same = np.flatnonzero(common >= length)
+    found[order[same]] = found[order[same - 1]] = True
     return found
 
 
@@ -210,9 +285,9 @@ def _sort_stretches(length: int, budget: int = 8 << 20):
         owner = np.repeat(np.arange(len(rows)), windows)
         offset = np.arange(windows.sum()) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
         # equal windows have their anchor at the same place: groups are anchors by that place
-        place = np.array([_place_in(r[1], length) for r in rows])
+        place = np.array([r[5] for r in rows])
         anchor = np.unique(np.array([r[0] for r in rows], dtype=np.int64), return_inverse=True)[1]
-        group = anchor[owner] * 256 + (place[owner] - offset)
+        group = anchor[owner] * 512 + (place[owner] - offset)
         flags = repeated(data, base[owner] + offset, group, length)
         keys, starts, stops = [], [], []
         first = np.concatenate([[0], np.cumsum(windows)])
@@ -235,7 +310,7 @@ def _sort_stretches(length: int, budget: int = 8 << 20):
 
         for batch in batches:
             d = batch.to_pydict()
-            for r in zip(d["anchor"], d["stretch"], d["copies"], d["key"], d["start"]):
+            for r in zip(d["anchor"], d["stretch"], d["copies"], d["key"], d["start"], d["place"]):
                 if size > budget and held[-1][0] != r[0]:
                     yield from flush(held)
                     held, size = [], 0
@@ -246,11 +321,63 @@ def _sort_stretches(length: int, budget: int = 8 << 20):
     return run
 
 
-def _place_in(stretch: bytes, length: int) -> int:
-    """Where the anchor of a stretch stands in it."""
-    data = np.frombuffer(stretch[:length], dtype=np.uint8)
-    hashes = _anchor_hashes(data)
-    return int(((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)).argmin())
+_PART_ROW = "anchor long, core int, place int, stretch binary, copies long, key binary, start long"
+_STRETCH_ROW = _PART_ROW + ", kinds long"  # kinds: how many different stretches the anchor has
+
+
+def _stretch_batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in kind.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
+def deeper(anchor: int, core: int, place: int, stretch: bytes, length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(anchor, core, place, start, stretch) of a stretch's windows, parted by which longer string around the anchor they hold.
+
+    Windows that have half of the other bytes behind the core take those to it; the others, which have more before it, take those.
+    """
+    rest = length - core
+    behind = -(-rest // 2)
+    before = rest - behind + 1
+    windows = len(stretch) - length + 1
+    split = max(0, place - (rest - behind))  # the first window with `behind` bytes after the core
+    for first, last, side, low, high in ((split, windows, b"b", place, place + core + behind), (0, min(split, windows), b"a", place - before, place + core)):
+        if first < last:
+            own = xxhash.xxh3_64_intdigest(side + anchor.to_bytes(8, "little", signed=True) + stretch[low:high])
+            yield own - 2**64 if own >= 2**63 else own, high - low, low - first, first, stretch[first : last - 1 + length]
+
+
+def _resolve(stretch: DataFrame, length: int, hot: int) -> DataFrame:
+    """Spans of the stretches (see _STRETCH_ROW) that occur once and repeat in part; a hot anchor's are parted until it is cold."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.to_pydict()
+            out: list[tuple] = []
+            for anchor, core, place, raw, copies, key, start in zip(*(d[f.split()[0]] for f in _PART_ROW.split(", "))):
+                out += [(a, c, p, s, copies, key, start + at) for a, c, p, at, s in deeper(anchor, core, place, raw, length)]
+                if len(out) >= 10_000:
+                    yield _stretch_batch(out, _PART_ROW)
+                    out = []
+            if out:
+                yield _stretch_batch(out, _PART_ROW)
+
+    whole = lambda df: df.select("key", "start", (F.col("start") + F.octet_length("stretch")).alias("stop"))
+    spans = None
+    while True:
+        cold = stretch.where(F.col("kinds") <= hot).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_stretches(length), _SPAN)
+        spans = cold if spans is None else spans.unionByName(cold)
+        too_many = stretch.where(F.col("kinds") > hot)
+        if too_many.isEmpty():
+            return spans
+        parts = cut(too_many.mapInArrow(part, _PART_ROW), "parts")
+        # equal ones are settled; one of each goes on, unless it is its anchor's only one or all of its anchor's are settled
+        kinds = parts.groupBy("anchor", "core", "place", "stretch").agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "start")).alias("one"))
+        kinds = cut(kinds.select("anchor", "core", "place", "stretch", "copies", "one.key", "one.start"), "kinds")
+        settled = parts.where("copies = 1").join(kinds.where("copies > 1").select("anchor", "place", "stretch"), ["anchor", "place", "stretch"], "left_semi")
+        spans = spans.unionByName(whole(settled))
+        of_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).where("kinds > 1 and single > 0")
+        stretch = cut(kinds.join(of_anchor.drop("single"), "anchor").select(*[f.split()[0] for f in _STRETCH_ROW.split(", ")]), "bytes")
 
 
 def find_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -261,21 +388,23 @@ def find_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> Da
             rows = _rows(*_bytes(part.column(1)), length)
             if not rows[0]:
                 continue
-            row, start, count, anchor, digest = (np.concatenate(x) for x in rows)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(start * 256 + count), pa.array(anchor), pa.array(digest)], names=["key", "at", "anchor", "digest"])
+            row, at, anchor, digest = (np.concatenate(x) for x in rows)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at), pa.array(anchor), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["key", "at", "anchor", "digest", "digest2"])
 
-    found = docs.select("key", "text").where(F.octet_length("text") >= length).mapInArrow(anchors, "key binary, at long, anchor long, digest long")
+    found = docs.select("key", "text").where(F.octet_length("text") >= length).mapInArrow(anchors, "key binary, at long, anchor long, digest long, digest2 long")
     often = found.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     shared = cut(found.join(often.hint("shuffle_hash"), "anchor"), "anchors")
 
-    kinds = shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "at")).alias("one"))
-    kinds = cut(kinds.select("anchor", "digest", "copies", "one.key", "one.at"), "stretches")
+    equal = ["anchor", "digest", "digest2"]
+    kinds = shared.groupBy(*equal).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "at")).alias("one"))
+    kinds = cut(kinds.select(*equal, "copies", "one.key", "one.at"), "stretches")
     of_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("copies") == 1).alias("single")).where("kinds > 1 and single > 0")
-    settled = shared.join(kinds.where("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    whole = settled.select("key", F.expr("at div 256").alias("start"), F.expr(f"at div 256 + at % 256 - 1 + {length}").alias("stop"))
+    settled = shared.join(kinds.where("copies > 1").select(*equal), equal, "left_semi")
+    start, windows = F.expr("at div 65536"), F.expr("at div 256 % 256")
+    whole = settled.select("key", start.alias("start"), (start + windows - 1 + length).alias("stop"))
 
     wanted = kinds.join(of_anchor.drop("single"), "anchor")
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "copies", "at", "kinds")).alias("wanted"))
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "copies", "at", "kinds")).alias("wanted"))
     texts = docs.join(lists.hint("shuffle_hash"), "key")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,33 +413,13 @@ def find_repeats(docs: DataFrame, *, length: int = LENGTH, hot: int = HOT) -> Da
             for key, text, listed in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("key", "text", "wanted"))):
                 raw = text.encode()
                 for w in listed:
-                    a = w["at"] // 256
-                    out.append((w["anchor"], raw[a : a + w["at"] % 256 - 1 + length], w["copies"], key, a, w["kinds"]))
+                    a, n, place = w["at"] >> 16, w["at"] >> 8 & 255, w["at"] & 255
+                    out.append((w["anchor"], ANCHOR, place, raw[a : a + n - 1 + length], w["copies"], key, a, w["kinds"]))
             for k in range(0, len(out), 10_000):
-                c = list(zip(*out[k : k + 10_000]))
-                kinds_ = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds_)], names=["anchor", "stretch", "copies", "key", "start", "kinds"])
+                yield _stretch_batch(out[k : k + 10_000], _STRETCH_ROW)
 
-    stretch = texts.select("key", "text", "wanted").mapInArrow(take, "anchor long, stretch binary, copies long, key binary, start long, kinds long")
-    stretch = cut(stretch, "bytes")
-    cold = stretch.where(F.col("kinds") <= hot).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
-    spans = whole.unionByName(cold.mapInArrow(_sort_stretches(length), _SPAN))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = batch.to_pydict()
-            out: list[tuple] = []
-            for s, c, key, a in zip(d["stretch"], d["copies"], d["key"], d["start"]):
-                out += [(xxhash.xxh3_128_digest(s[o : o + length]), c, key, a + o) for o in range(len(s) - length + 1)]
-            for k in range(0, len(out), 10_000):
-                c = list(zip(*out[k : k + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), pa.int64(), pa.binary(), pa.int64()))], names=["window", "copies", "key", "start"])
-
-    if stretch.where(F.col("kinds") > hot).limit(1).count():
-        each = stretch.where(F.col("kinds") > hot).mapInArrow(windows, "window binary, copies long, key binary, start long")
-        again = each.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-        spans = spans.unionByName(each.where("copies = 1").join(again, "window").select("key", "start", (F.col("start") + length).alias("stop")))
-    return spans
+    stretch = cut(texts.select("key", "text", "wanted").mapInArrow(take, _STRETCH_ROW), "bytes")
+    return whole.unionByName(_resolve(stretch, length, hot))
 
 
 def _narrowed(raw: bytes, start: int, stop: int) -> list[int]:

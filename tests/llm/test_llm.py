@@ -120,12 +120,49 @@ def test_repeats_by_force(spark, docs, cases, hot):
         assert got == want
 
 
+def test_deep_shallow_order_by_force():
+    rng = random.Random(12)
+    for case in range(30):
+        length, shallow = 40, rng.choice([8, 16, 24])
+        base = ["".join(rng.choice("ab" if case % 2 else "abcdefgh") for _ in range(60)) for _ in range(3)]
+        texts = [rng.choice(base)[: rng.randint(0, 39)] + "".join(rng.choice("ab") for _ in range(60)) for _ in range(rng.randint(0, 60))]
+        texts += texts[: len(texts) // 3]
+        data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+        starts = np.cumsum([0] + [len(t) for t in texts])[:-1].astype(np.int64)
+        group = np.array([rng.randint(-2, 2) for _ in texts], dtype=np.int64)
+        order, common = suffix_dedup.sorted_suffixes(data, starts, group, length, shallow)
+        rows = [(group[i], texts[i][:length]) for i in order]
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(len(texts)))
+        for k in range(1, len(rows)):
+            lcp = 0
+            while rows[k][0] == rows[k - 1][0] and lcp < length and rows[k][1][lcp] == rows[k - 1][1][lcp]:
+                lcp += 1
+            assert common[k] == (lcp if lcp >= shallow else 0)
+
+
+def test_deeper_anchors_hold_every_window_once():
+    rng = random.Random(13)
+    for _ in range(200):
+        length, core = 20, rng.randint(4, 19)
+        windows = rng.randint(1, length - core + 1)
+        size = length + windows - 1
+        place = rng.randint(windows - 1, length - core)
+        stretch = bytes(rng.randrange(97, 100) for _ in range(size))
+        seen = []
+        for anchor, wide, at, start, part in suffix_dedup.deeper(7, core, place, stretch, length):
+            assert core < wide <= length and part == stretch[start : start + len(part)]
+            for i in range(len(part) - length + 1):
+                assert 0 <= at - i and at - i + wide <= length  # each window holds the longer core
+                seen.append(start + i)
+        assert sorted(seen) == list(range(windows))
+
+
 def test_long_texts_go_by_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
     rng = random.Random(5)
     data = "".join(rng.choice("abc") for _ in range(3000)).encode()
     whole = suffix_dedup._rows(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 200)
-    starts = sorted((int(s), int(n)) for s, n in zip(np.concatenate(whole[1]), np.concatenate(whole[2])))
+    starts = sorted((int(at) >> 16, int(at) >> 8 & 255) for at in np.concatenate(whole[1]))
     assert sum(n for _, n in starts) == len(data) - 199 and starts[0][0] == 0
 
 
