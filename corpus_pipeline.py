@@ -13,33 +13,41 @@ from talewright.llm import language, order_minhash, packing, quality, suffix_ded
 from talewright.llm.common import cut, quoted, table
 
 
-def _with_text(done: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
-    """The columns of docs, with another text and its number of characters."""
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return done.select(*[new.get(c, quoted(c)).alias(c) for c in docs.columns])
+_READ = ("doc_id", "text", "lang")
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """docs with the columns that no stage reads under names that no operator's results have."""
+    return docs.select(*[quoted(c).alias(c if c in _READ else f"__c{i}") for i, c in enumerate(docs.columns)])
+
+
+def _back(done: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs again; with another text and its number of characters, if one is given."""
+    new = {} if text is None else {"text": text, "n_chars": F.length(text).cast("long")}
+    return done.select(*[new.get(c, F.col(c if c in _READ else f"__c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; so do documents that fail the base rules or lose too much text."""
-    return _with_text(quality.clean(docs).where("kept"), docs, F.col("clean_text"))
+    return _back(quality.clean(_aside(docs)).where("kept"), docs, F.col("clean_text"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or too far from every language's centroids, go."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    model = language.fit(docs.where(~held_out))
-    return language.predict(docs, model).where(~F.col("rejected")).select(*[quoted(c) for c in docs.columns])
+    model = language.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return _back(language.predict(_aside(docs), model).where(~F.col("rejected")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the least doc_id."""
-    return order_minhash.deduplicated(docs)
+    return _back(order_minhash.deduplicated(_aside(docs)), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur twice or more are cut out (whole characters only); documents stay, if empty."""
-    done = suffix_dedup.remove_repeats(docs, whole_characters=True)
-    return _with_text(done, docs, F.col("kept").cast("string"))
+    done = suffix_dedup.remove_repeats(_aside(docs), whole_characters=True)
+    return _back(done, docs, F.col("kept").cast("string"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
