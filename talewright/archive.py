@@ -121,6 +121,7 @@ class Archive:
             self.files.move(f"{stage}/{name}", f"{name}/run={run}")
         self.files.write(f"_runs/{run}", json.dumps({"run": run, "finished_at": dt.datetime.now(dt.timezone.utc).isoformat()}))
         self.files.drop(stage)
+        self.files.drop("index")  # it is of the runs before
         return self.spark.read.parquet(self.files.at(f"sources/run={run}"))
 
     def _placed(self, events: DataFrame, repositories: bool) -> DataFrame:
@@ -192,7 +193,7 @@ class Archive:
 
     def validate(self) -> DataFrame:
         checks = validate.validate(self.need("events"), self.need("observations"), self.sources(), self.conversations())
-        return checks.unionByName(dataset.validate(self)) if self.files.exists("manifest.json") else checks
+        return checks.unionByName(dataset.validate(self)) if self.files.exists("dataset/manifest.json") else checks
 
     def stats(self) -> DataFrame:
         """One row of counters; from the manifest where there are no tables."""

@@ -71,6 +71,8 @@ def main(argv: list[str] | None = None) -> int:
             if a.secret_policy:
                 archive.config.secrets.policy = a.secret_policy
             show(archive.import_(a.paths, resume=a.resume, dry_run=a.dry_run, only=a.only, repositories=a.repositories))
+            if not a.dry_run:
+                archive.write_dataset()
             return 0 if a.dry_run else int(archive.validate().where("not passed").count() > 0)
         if a.command == "all":
             lines = archive.harness_lines() if a.harness else archive.records().select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))

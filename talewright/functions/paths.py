@@ -58,3 +58,10 @@ def norm_role(role: Column) -> Column:
         .when(r.isin("system", "developer"), r)
         .otherwise("other")
     )
+
+
+def mapped_path(path: Column, staged: str, original: str) -> Column:
+    """The path that a file copied from elsewhere had there; paths outside of the staging folder stay."""
+    root = staged.rstrip("/")
+    inside = path.startswith(root + "/")
+    return F.when(inside, F.concat(F.lit(original.rstrip("/")), F.substring(path, len(root) + 1, 100_000))).otherwise(path)

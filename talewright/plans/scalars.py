@@ -109,6 +109,13 @@ def remote_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", paths.normalize_remote(url).alias("remote"))
 
 
+def mapped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were copied from another machine under their paths there."""
+    k = F.col("s_suppkey")
+    path = F.concat(F.when(k % 3 == 0, "/stage/m1/").when(k % 3 == 1, "/stage/m10/").otherwise("/other/"), k.cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", paths.mapped_path(path, "/stage/m1/", "host:/home/me").alias("path"))
+
+
 def machine_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first configured rule whose prefix holds a path."""
     rules = spark.createDataFrame([(0, "/home/me/Dir1", "one"), (1, "C:\\Users", "two"), (2, "/home", "three"), (3, "/home/me", "four")], "ord int, prefix string, machine string")
@@ -225,7 +232,7 @@ def unsupported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rfc3339_times, takeout_times, unique_ids, conversation_keys, event_tiers, blake3_vectors, path_forms, remote_forms, machine_rules, project_rules, git_remotes, searchable_texts, content_fingerprints, mime_types, html_to_markdown,
+        rfc3339_times, takeout_times, unique_ids, conversation_keys, event_tiers, blake3_vectors, path_forms, remote_forms, mapped_paths, machine_rules, project_rules, git_remotes, searchable_texts, content_fingerprints, mime_types, html_to_markdown,
         attachment_members, unsupported_files,
     )
 }
@@ -245,6 +252,7 @@ SQL = {
     "path_forms": r"""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'c:/users/me/dir' WHEN 1 THEN 'c:/users/me/dir' WHEN 2 THEN '/home/me/Dir' WHEN 3 THEN '//host/share/dir' ELSE '/Users/me/Dir' END || c_custkey AS path,
       CASE c_custkey % 5 WHEN 0 THEN 'windows' WHEN 1 THEN 'linux' WHEN 2 THEN 'linux' WHEN 3 THEN 'windows' ELSE 'macos' END AS platform, 'Dir' || c_custkey AS name, c_custkey % 5 IN (0, 1) AS inside FROM customer""",
     "remote_forms": "SELECT s_suppkey, 'host.org/own/repo' || s_suppkey AS remote FROM supplier",
+    "mapped_paths": "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'host:/home/me/' WHEN 1 THEN '/stage/m10/' ELSE '/other/' END || s_suppkey AS path FROM supplier",
     "machine_rules": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'two' WHEN 1 THEN CASE WHEN c_custkey % 40 = 1 THEN 'one' ELSE 'three' END END AS machine FROM customer",
     "project_rules": """WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'r' || c_custkey % 8 END AS repo, CASE WHEN c_custkey % 4 = 1 THEN 'alias' WHEN c_custkey % 2 = 0 THEN 'r' || c_custkey % 8 END AS name FROM customer)
       SELECT name AS project_name, count(*) AS n, CASE WHEN name IS NULL THEN 0 ELSE 1 END AS projects, count(DISTINCT repo) AS repositories FROM r GROUP BY name""",

@@ -104,13 +104,26 @@ def members(name: str, data: bytes, chain: tuple[str, ...] = (), spent: list[int
                 yield from inner(path, raw)
     elif kind == "tar":
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for info in sorted((i for i in t if i.isreg()), key=lambda i: i.name):
+            infos = []
+            try:
+                infos += (i for i in t if i.isreg())
+            except (tarfile.TarError, EOFError) as e:  # what came before it is read
+                yield Member(own, name, None, f"the archive breaks off: {e}")
+            for info in sorted(infos, key=lambda i: i.name):
                 try:
                     path = safe_path(info.name)
+                    raw = _limited(t.extractfile(info), 0, spent)
+                    if len(raw) < info.size:
+                        raise EOFError("the member breaks off")
                 except ArchiveError as e:
+                    if "unsafe" not in str(e):
+                        raise
                     yield Member(own, info.name, None, str(e))
                     continue
-                yield from inner(path, _limited(t.extractfile(info), 0, spent))
+                except (tarfile.TarError, EOFError, OSError) as e:
+                    yield Member(own, info.name, None, str(e))
+                    continue
+                yield from inner(path, raw)
     elif kind in ("gzip", "zstd"):
         if kind == "gzip":
             raw = _limited(gzip.GzipFile(fileobj=io.BytesIO(data)), len(data), spent)

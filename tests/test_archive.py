@@ -1,13 +1,17 @@
 """What an archive keeps, publishes and finds again."""
 
+import io
 import json
+import tarfile
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from talewright.archive import Archive
 from talewright.operators import classify
-from talewright.sources import ingest, local_stores, registry, repository
+from talewright.sinks import files
+from talewright.sources import archives, ingest, local_stores, registry, repository
 
 SID = "11111111-2222-4333-8444-555555555555"
 
@@ -73,7 +77,8 @@ def test_a_damaged_dataset_fails_its_checks(spark, tmp_path):
     assert manifest["counts"]["events"] == 2 and sum(s["records"] for s in manifest["event_shards"]) == 2
     from talewright import dataset
 
-    assert all(r.passed for r in dataset.validate(archive).collect())
+    checks = archive.validate().collect()
+    assert len(checks) == 10 and all(r.passed for r in checks)
     shard = tmp_path / "out/dataset" / manifest["event_shards"][0]["path"]
     shard.write_bytes(shard.read_bytes() + b"x")
     (tmp_path / "out/dataset/more.txt").write_text("x")
@@ -87,6 +92,27 @@ def test_observations_without_a_parser_stay_one(spark):
     assert classify.observations(done, classify.observations(done)).count() == 0
 
 
+def test_single_files(spark, tmp_path, capsys):
+    choose = lambda *a, **k: files.compressed(*a, **k)
+    assert [choose("a.jsonl", harness=False), choose("a.zst", harness=False), choose("a", harness=True), choose("-", harness=True), choose("a.zst", harness=True, flag=False), choose("-", harness=False, flag=True)] == [False, True, True, False, False, True]
+    df = spark.createDataFrame([(k, f"é{k}") for k in range(5)], "k int, line string").orderBy("k").select("line")
+    assert files.write_single(df, str(tmp_path / "a.txt"), compress=False) == 5 and (tmp_path / "a.txt").read_text().split() == [f"é{k}" for k in range(5)]
+    files.write_single(df, str(tmp_path / "a.zst"), compress=True)
+    assert zstandard.ZstdDecompressor().stream_reader((tmp_path / "a.zst").read_bytes()).read() == (tmp_path / "a.txt").read_bytes()
+    assert files.write_single(df, "-", compress=False) == 5 and capsys.readouterr().out.split()[-1] == "é4"
+
+
+def test_a_tar_that_breaks_off():
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name in ("a", "b"):
+            info = tarfile.TarInfo(name)
+            info.size = 3000
+            t.addfile(info, io.BytesIO(name.encode() * 3000))
+    got = list(archives.members("x.tar", out.getvalue()[:5000]))
+    assert [(m.path, m.data) for m in got if m.data] == [("a", b"a" * 3000)] and any(m.error for m in got)
+
+
 def test_repositories(tmp_path):
     own = tmp_path / "r/a/b"
     own.mkdir(parents=True)
