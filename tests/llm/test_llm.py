@@ -496,6 +496,25 @@ def test_near_fingerprints_by_force(spark):
     assert got == want and {(r.a, r.b, r.distance) for r in simhash.near(df, radius=3, bits=64, blocks=6).collect()} == want
 
 
+def test_near_texts_by_force(spark, docs):
+    """At 256 bits and the default radius: every pair of texts within it is found, among edits of one word in a thousand."""
+    rng = random.Random(21)
+    base = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(1500)) for _ in range(6)]
+    texts = list(base)
+    for b in base:
+        for edits in (1, 1, 2, 4, 40):
+            words = b.split(" ")
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = "edited"
+            texts.append(" ".join(words))
+    df = simhash.fingerprint(spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *[t or "" for _, t in docs[:60]], *texts[:3]])], "doc_id long, text string"))
+    prints = sorted({r.fingerprint for r in df.collect()})
+    want = {(a, b, d) for k, a in enumerate(prints) for b in prints[k + 1 :] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= simhash.RADIUS}
+    assert {(r.a, r.b, r.distance) for r in simhash.near(df).collect()} == want and len(want) >= 12
+    clash = simhash.with_edits(clashing(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), "fingerprint", "n_chars", "bucket", "foreign")).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in clash) == [(1, 3), (2, 0)]
+
+
 # 8
 
 
