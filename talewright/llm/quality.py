@@ -29,8 +29,11 @@ BOILERPLATE = (
     r"alle rechte vorbehalten|datenschutzerklärung|hier klicken|mehr lesen|nutzungsbedingungen|"
     r"todos los derechos reservados|política de (?:privacidad|cookies)|haga clic aquí|leer más|condiciones de uso)"
 )
+#: CAPITALS without going back, which finds the same: Java's groups that may go back take a stack frame a word, and a stack that
+#: overflows ends the executor.
+_CAPITALS = CAPITALS.replace("{2,}", "{2,}+")
 #: What a line holds if half or more of its characters are no letters: two such in a row, or none but every other one.
-FEW_LETTERS = r"[^\p{L}\s]\s*[^\p{L}\s]|^[^\p{L}\s](?:\s*\p{L}\s*[^\p{L}\s])*$"
+FEW_LETTERS = r"[^\p{L}\s]\s*[^\p{L}\s]|^[^\p{L}\s](?:\s*\p{L}\s*[^\p{L}\s])*+$"
 #: Share of a document's line characters that its failing lines may hold.
 MAX_LOST = 0.5
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost", "clean_text", "kept")
@@ -71,7 +74,7 @@ def judged_lines(text: Column, signs: Column) -> Column:
         | F.when(symbols, F.regexp_count(x, F.lit(r"[#*$%&|<>=_~^]")) * 10 > F.length(x)).otherwise(False)
         | F.when(x.rlike(FEW_LETTERS), F.regexp_count(x, F.lit(r"\p{L}")) * 2 < F.length(x) - n_spaces(x)).otherwise(False)
         | F.when(bars, x.rlike(SEPARATORS)).otherwise(False)
-        | x.rlike(CAPITALS)
+        | x.rlike(_CAPITALS)
         | F.when(canned, F.lower(x).rlike(BOILERPLATE)).otherwise(False)
     )
     return F.transform(trimmed, lambda x: F.struct(x["line"].alias("line"), F.length(x["trim"]).alias("size"), F.when(x["trim"] == "", False).otherwise(rules(x["trim"])).alias("fails")))

@@ -453,6 +453,11 @@ def test_a_line_is_judged_alike_in_any_document(spark, docs):
     assert kept == [x for x, w in zip(lines, want) if w]
 
 
+def test_very_long_lines_of_capitals_and_signs(spark):
+    lines = ["Word " * 50_000 + "Ends.", "Word " * 50_000 + "ends.", ".a" * 50_000 + ".", "a." * 50_000]
+    assert judged(spark, lines) == [line_by_force(x) for x in lines] == [False, True, False, True]
+
+
 # 7
 
 
