@@ -29,13 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, quoted, slices, text_of, tokenizer_path, without
+from .common import SLICE_BYTES, cut, quoted, slices, text_of, tokenizer_path, without
 from .sharding import _ranked
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks and parts kept in each of two generations.
-KEEP_CHUNKS = 150_000
+#: Parts kept in each of two generations.
 KEEP_PARTS = 400_000
 RESULT = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -100,9 +99,18 @@ def _places(fillings: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarr
     return columns[0], columns[1], columns[2], columns[3]
 
 
-#: Chunks of these signs alone are letters and marks by turns, which the vocabulary keeps apart; their lower case is sign by sign.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?]+")
-_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]+")
+#: Kinds of bytes: blanks and line ends, which part chunks; letters up to U+00FF; digits; ASCII marks but ' and <; all else. A chunk
+#: of the first kinds alone is runs of letters, digits and runs of marks, which the vocabulary keeps apart, and its lower case is byte
+#: by byte. An apostrophe may begin a part of its own, and < a special token.
+_BLANK, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, dtype=np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*b"'<"]] = _ODD
+_KIND[[*b" \n"]] = _BLANK
+_KIND[[*b"0123456789"]] = _DIGIT
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), 0xC3, *range(0x80, 0xC0)]] = _LETTER  # other lead bytes are odd
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 #: What a vocabulary must do to texts first for the way by chunks to hold; others encode whole texts.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRE_TOKENIZER = {
@@ -114,8 +122,8 @@ _PRE_TOKENIZER = {
 }
 
 
-class _Chunks:
-    """Ids, as bytes, of the chunks of texts, in two generations; the library encodes what is new."""
+class _Parts:
+    """Ids, as bytes, of the parts of texts, in two generations; the library encodes what is new."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,52 +137,91 @@ class _Chunks:
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str], tokenizer: object) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids(self, parts: list[bytes], odd: np.ndarray) -> list[bytes]:
+        """Ids of different parts; odd: which of them the vocabulary must normalize and split."""
+        if len(self.new) > KEEP_PARTS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = [k for k, p in enumerate(parts) if p not in new]
+        new.update((parts[k], old[parts[k]]) for k in missing if parts[k] in old)
+        for kind, tokenizer in ((False, self.bare), (True, self.tokenizer)):
+            unknown = [parts[k] for k in missing if odd[k] == kind and parts[k] not in new]
+            new.update(zip(unknown, self._encode([p.decode() for p in unknown], tokenizer)))
+        return [new[p] for p in parts]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.known:
             return self._encode(texts, self.tokenizer)
-        if len(self.new) > KEEP_CHUNKS:
-            self.old, self.new = self.new, {}
-        if len(self.parts) > KEEP_PARTS:
-            self.old_parts, self.parts = self.parts, {}
-        new, old, parts = self.new, self.old, self.parts
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list({c for row in rows for c in row if c not in new})
-        for c in missing:
-            if c in old:
-                new[c] = old[c]
-        missing = [c for c in missing if c not in new]
-        plain = {c: [p.lower() for p in _PARTS.findall(c)] for c in missing if _PLAIN.fullmatch(c)}
-        unknown = list({p for split in plain.values() for p in split if p not in parts})
-        known = self.old_parts
-        parts.update((p, known[p]) for p in unknown if p in known)
-        unknown = [p for p in unknown if p not in parts]
-        parts.update(zip(unknown, self._encode(unknown, self.bare)))
-        for c, split in plain.items():
-            new[c] = b"".join(map(parts.__getitem__, split))
-        odd = [c for c in missing if c not in plain]
-        new.update(zip(odd, self._encode(odd, self.tokenizer)))
-        return [b"".join(map(new.__getitem__, row)) for row in rows]
-
-
-_loaded: dict[str, _Chunks] = {}
+        if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:  # a long text in stretches that begin at blanks
+            stops = [0]
+            while (stop := texts[0].find(" ", stops[-1] + SLICE_BYTES)) > 0:
+                stops.append(stop)
+            return [b"".join(self._stretch([texts[0][a:b]])[0] for a, b in zip(stops, [*stops[1:], None]))]
+        return self._stretch(texts)
+
+    def _stretch(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        firsts = np.cumsum([0] + [len(r) + 1 for r in raw])
+        data, kind, begins, sizes = _parts_of(b" ".join([*raw, b""]))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        every = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        code = every.indices.to_numpy(zero_copy_only=False)
+        odd = np.zeros(len(every.dictionary), dtype=bool)
+        odd[code[kind == _ODD]] = True
+        ids = self._ids(every.dictionary.to_pylist(), odd)
+        own = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        length = own[code]
+        at = np.concatenate([[0], np.cumsum(length)])
+        # every part's ids, from where those of its kind are
+        places = np.arange(at[-1]) + np.repeat((np.cumsum(own) - own)[code] - at[:-1], length)
+        out = np.frombuffer(b"".join(ids), dtype="<u4")[places]
+        rows = at[np.searchsorted(begins, firsts)]
+        return [out[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:])]
+
+
+def _parts_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all parts, end to end, and each part's kind, place in `raw` and size; chunks that hold an odd sign are one part."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    kind = _KIND[data]
+    lower = _LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    signs = data[second]
+    lower[second[(signs < 0x9F) & (signs != 0x97)]] += 32
+    odd = np.concatenate([np.flatnonzero(kind == _ODD), second[(signs == 0x97) | (signs == 0xB7)]])  # the signs of times and division
+    if len(odd):
+        blanks = np.concatenate([[-1], np.flatnonzero(kind == _BLANK), [len(data)]])
+        chunk = np.unique(np.searchsorted(blanks, odd))
+        step = np.zeros(len(data) + 1, dtype=np.int8)
+        step[blanks[chunk - 1] + 1] = 1
+        step[blanks[chunk]] -= 1
+        inside = np.flatnonzero(np.cumsum(step[:-1], dtype=np.int8))
+        kind[inside] = _ODD
+        lower[inside] = data[inside]
+    new = np.ones(len(data), dtype=bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begins = np.flatnonzero(new)
+    kinds, sizes = kind[begins], np.diff(np.append(begins, len(data)))
+    some = kinds != _BLANK
+    return lower[kind != _BLANK], kinds[some], begins[some], sizes[some]
+
+
+_loaded: dict[str, _Parts] = {}
 
 
 def chunk_ids(path: str, texts: list[str]) -> list[bytes]:
     """Ids (unsigned 32-bit, little-endian) of each text without special tokens.
 
     The vocabulary's tokens never hold a blank or line end, and what it does to a text before stops there too, so
-    texts are cut there, and the library encodes each chunk once, plain ones by their parts.
+    texts are cut there, plain chunks into their parts as well, and the library encodes each different one once.
     """
     if path not in _loaded:
-        _loaded[path] = _Chunks(path)
+        _loaded[path] = _Parts(path)
     return _loaded[path].encode(texts)
 
 

@@ -263,6 +263,30 @@ def test_packing(spark, docs, cases):
     assert packing.pack_documents(cases.limit(0)).count() == 0
 
 
+def test_parts_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    signs = [*"aBéÉß×÷ÿŸ0<>|'.,!-_^`~{ \n\t\r\x0b\xa0\x85\u2028\u0301\x00\x7fİſ日😀ªΣÅ", "'s", "'S", "12", "the", "  ", "<|endoftext|>", "e\u0301"]
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 3, 6, 30]))) for _ in range(3000)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert packing.chunk_ids(path, texts) == want and packing.chunk_ids(path, []) == []
+    monkeypatch.setattr(packing, "SLICE_BYTES", 8)  # long texts go in stretches
+    assert [packing.chunk_ids(path, [t])[0] for t in texts] == want
+
+
+def test_each_part_is_encoded_once(monkeypatch):
+    """Letters, digits and marks meet the library as different parts, not as different chunks."""
+    parts = packing._Parts(tokenizer_path("word_bpe_49k.json"))
+    seen, encode = {parts.bare: [], parts.tokenizer: []}, parts._encode
+    monkeypatch.setattr(parts, "_encode", lambda texts, tokenizer: (seen[tokenizer].extend(texts), encode(texts, tokenizer))[1])
+    for _ in range(2):
+        parts.encode(["Boat, BOAT. boat boat", "(12) 21; «boat» it's boat, 1", ""])
+    assert collections.Counter(seen[parts.bare]) == collections.Counter(["boat", ",", ".", "(", "1", "2", ")", ";"])
+    assert collections.Counter(seen[parts.tokenizer]) == collections.Counter(["«boat»", "it's"])
+
+
 def one_by_one(lengths, capacity):
     """Best-two-fit a sequence at a time."""
     left, out = sorted(lengths), []
