@@ -225,6 +225,12 @@ def chunk_ids(path: str, texts: list[str]) -> list[bytes]:
     return _loaded[path].encode(texts)
 
 
+def forget(path: str) -> None:
+    """Drop the parts that were kept for a task: the worker goes on to other operators, beside which they would take memory."""
+    if path in _loaded:
+        _loaded[path].new, _loaded[path].old = {}, {}
+
+
 def tokenize(df: DataFrame, *, text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: df's columns but the text, with piece, start, length, ids_crc32 (and ids)."""
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
@@ -252,6 +258,7 @@ def tokenize(df: DataFrame, *, text_col: str = "text", tokenizer: str | None = N
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             new = [pa.array(out[n], k) for (n, _), k in zip(fields, kinds)]
             yield pa.RecordBatch.from_arrays([*[c.take(take) for c in part.columns[:-1]], *new], names=schema.names)
+        forget(path)
 
     return df.select(*[quoted(c) for c in names], text_of(text_col).alias("__text")).mapInArrow(run, schema)
 

@@ -287,6 +287,14 @@ def test_each_part_is_encoded_once(monkeypatch):
     assert collections.Counter(seen[parts.tokenizer]) == collections.Counter(["«boat»", "it's"])
 
 
+def test_parts_are_kept_for_a_task_only():
+    path = tokenizer_path("word_bpe_49k.json")
+    want = packing.chunk_ids(path, [SENTENCE])
+    assert packing._loaded[path].new
+    packing.forget(path)
+    assert not packing._loaded[path].new and not packing._loaded[path].old and packing.chunk_ids(path, [SENTENCE]) == want
+
+
 def one_by_one(lengths, capacity):
     """Best-two-fit a sequence at a time."""
     left, out = sorted(lengths), []
