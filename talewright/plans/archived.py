@@ -241,7 +241,7 @@ def coverage_by_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that were seen more than once, with where."""
     a = archive(spark, sf_dir)
-    seen = validate.multi_observed(a.need("observations"), a.sources(), limit=500)
+    seen = validate.multi_observed(a.need("observations"), a.sources())
     e = a.need("events").select("event_id", "native_id", "session_native")
     copies = F.array_join(F.transform(F.split("paths", ","), lambda p: F.regexp_extract(p, r"/files/([abc])/", 1)), "")
     return seen.join(e, "event_id").select(_conv().alias("conv_id"), _turn().alias("turn"), "n", copies.alias("copies"))

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from talewright.archive import Archive
-from talewright.operators import classify
+from talewright.operators import classify, report, validate
 from talewright.sinks import files
 from talewright.sources import archives, ingest, local_stores, registry, repository
 
@@ -146,3 +146,12 @@ def test_compact_export_lines(spark, tmp_path):
     assert [e["event_type"] for e in events] == ["message", "control", "message"] and [e["hidden"] for e in events] == [False, True, True]
     assert events[0]["machine_id"] is None and events[0]["project_id"] and "branch" not in events[0] and "subagent" in events[2] and events[0]["source_refs"][0]["record_index"] == 1
     assert archive.records().select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).count() == 3
+
+
+def test_every_event_seen_twice_is_listed(spark):
+    observations = spark.createDataFrame([(f"e{k:04d}", s, f"/{s}") for k in range(501) for s in ("s1", "s2")], "event_id string, source_id string, source_path string")
+    sources = spark.createDataFrame([("s1", "/s1"), ("s2", "/s2")], "source_id string, source_path string")
+    found = validate.multi_observed(observations, sources).collect()
+    assert [r.event_id for r in found] == [f"e{k:04d}" for k in range(501)] and {(r.n, r.paths) for r in found} == {(2, "/s1,/s2")}
+    page = report.markdown_table(validate.multi_observed(observations, sources), title="Twice")
+    assert page.count("\n| e0") == 500 and page.endswith("The first 500 of 501 rows.\n")
