@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,8 +151,12 @@ class Archive:
     def export_stats(self) -> DataFrame:
         return export_records.export_stats(self.export(), self.need("events"))
 
+    def report_lines(self) -> dict[str, Iterator[str]]:
+        """File name to the lines of a report, which are made as they are read."""
+        return report.pages(self.need("events"), self.need("observations"), self.need("conflicts"), self.need("outcomes"), self.sources())
+
     def reports(self) -> dict[str, str]:
-        return report.reports(self.need("events"), self.need("observations"), self.need("conflicts"), self.need("outcomes"), self.sources())
+        return {name: "".join(f"{line}\n" for line in lines) for name, lines in self.report_lines().items()}
 
     def texts(self) -> DataFrame:
         """(event_id, text): what a search looks through, scrubbed again; the whole of a text that was spilled."""

@@ -93,8 +93,8 @@ def main(argv: list[str] | None = None) -> int:
             show(checks)
             return int(checks.where("not passed").count() > 0)
         if a.command == "report":
-            for name, text in archive.reports().items():
-                files.write_atomic(f"{a.archive}/reports/{name}", text.encode())
+            for name, lines in archive.report_lines().items():
+                files.write_lines(f"{a.archive}/reports/{name}", lines)
             return 0
         show(archive.stats() if a.command == "stats" else archive.search(a.query, a.limit) if a.command == "search" else archive.provenance(a.event_id) if a.command == "provenance" else archive.inspect_event(a.event_id))
         return 0

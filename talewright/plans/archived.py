@@ -264,7 +264,7 @@ def _first_of(a: Archive, conv: int) -> str:
 
 def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each report's table."""
-    rows = [(name, text.count("\n| ") - 1) for name, text in archive(spark, sf_dir).reports().items() if name in ("errors.md", "unresolved.md", "conflicts.md", "coverage.md", "sources.md", "conversations.md")]
+    rows = [(name, sum(line.startswith("| ") for line in lines) - 1) for name, lines in archive(spark, sf_dir).report_lines().items() if name in ("errors.md", "unresolved.md", "conflicts.md", "coverage.md", "sources.md", "conversations.md")]
     return spark.createDataFrame(rows, "report string, n long")
 
 

@@ -10,7 +10,7 @@ import json
 import os
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -29,12 +29,22 @@ def guess_mime(name: F.Column) -> F.Column:
 
 def write_atomic(path: str | Path, data: bytes) -> None:
     """Whole or not at all: a temporary file beside it is renamed."""
+    _write_pieces(path, (data,))
+
+
+def write_lines(path: str | Path, lines: Iterable[str]) -> None:
+    """Lines as they come, into a file that is there whole or not at all."""
+    _write_pieces(path, (line.encode() + b"\n" for line in lines))
+
+
+def _write_pieces(path: str | Path, pieces: Iterable[bytes]) -> None:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_name(f".{path.name}.{uuid.uuid4().hex}.part")
     try:
         with open(part, "wb") as f:
-            f.write(data)
+            for data in pieces:
+                f.write(data)
             f.flush()
             os.fsync(f.fileno())
         os.replace(part, path)

@@ -155,3 +155,15 @@ def test_every_event_seen_twice_is_listed(spark):
     assert [r.event_id for r in found] == [f"e{k:04d}" for k in range(501)] and {(r.n, r.paths) for r in found} == {(2, "/s1,/s2")}
     page = report.markdown_table(validate.multi_observed(observations, sources), title="Twice")
     assert page.count("\n| e0") == 500 and page.endswith("The first 500 of 501 rows.\n")
+
+
+def test_every_failure_is_listed(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.jsonl").write_bytes(session([says("one"), says("two")]) + b"{broken\n" * 501)
+    archive = Archive(spark, str(tmp_path / "out"))
+    archive.import_([str(src)], run="r1")
+    text = archive.reports()["errors.md"]
+    assert text.count("\n| src_") == 501 and "The first" not in text
+    files.write_lines(tmp_path / "errors.md", archive.report_lines()["errors.md"])
+    assert (tmp_path / "errors.md").read_text() == text
