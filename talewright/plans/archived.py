@@ -21,8 +21,8 @@ from ..lineage import kept
 from ..operators import export, export_records, ledger, search, validate
 from ..sinks.files import write_atomic
 from ..sources import ingest
-from .formats import START, iso
-from .records import _ROLE, table
+from .formats import START, conversations, iso
+from .records import _ROLE
 
 LIMIT = 300  # bytes of a text that are kept inline
 WORDS = "de la"
@@ -48,19 +48,18 @@ def _files(c: int, turns: list[dict], folder: str) -> Iterator[tuple[str, bytes]
 
 
 def _write(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     where = ingest.local(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = 0
-            for c, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for path, data in _files(c, ts, where):
-                    write_atomic(path, data)
+            for k in range(b.num_rows):
+                for path, data in _files(b.column(0)[k].as_py(), b.column(1)[k].as_py(), where):
+                    write_atomic(path, data, synced=False)
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    turns.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    conversations(spark, sf_dir).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def archive(spark: SparkSession, sf_dir: str) -> Archive:

@@ -141,18 +141,37 @@ FORMATS: dict[str, Callable[[int, list[Turn]], tuple[str, bytes]]] = {
 }
 
 
+#: Turns that a task makes files of, and bytes of files in a batch.
+TASK_TURNS, BATCH_BYTES = 5000, 4 << 20
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turns) in tasks by the number of turns; a task has some of each size of conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    many = rows.count()
+    tasks = max(1, min(many, spark.sparkContext.defaultParallelism), -(-many // TASK_TURNS))
+    return rows.repartition(tasks, "conv_id").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+
 def written(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """(path, content): a file of the format for each conversation, below a folder with its number."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     make = FORMATS[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["path", "content"])
+        out, size = [], 0
         for b in batches:
-            made = [make(c, [(t["turn"], t["role"], t["text"]) for t in ts]) for c, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            paths = [f"/data/conv-{c}/{p}" for c, (p, _) in zip(b.column(0).to_pylist(), made)]
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([d for _, d in made], pa.binary())], names=["path", "content"])
-
-    return turns.mapInArrow(run, "path string, content binary")
+            for k in range(b.num_rows):
+                c = b.column(0)[k].as_py()
+                path, data = make(c, [(t["turn"], t["role"], t["text"]) for t in b.column(1)[k].as_py()])
+                out.append((f"/data/conv-{c}/{path}", data))
+                size += len(data)
+                if size >= BATCH_BYTES:
+                    yield give(out)
+                    out, size = [], 0
+        yield give(out)
+
+    return conversations(spark, sf_dir).mapInArrow(run, "path string, content binary")
 
 
 def parsed(name: str) -> Callable[[SparkSession, str], DataFrame]:

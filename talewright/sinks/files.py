@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import hashlib
 import io
 import itertools
@@ -19,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PACK_ENTRIES, MAX_PACK_ENTRY, MAX_PACK_TOTAL = 100_000, 2 << 30, 20 << 30
+#: Bytes and files that a task reads; bytes and files that it writes before they are synced.
+TASK_BYTES, TASK_FILES = 16 << 20, 2000
+SYNC_BYTES, SYNC_FILES = 64 << 20, 5000
 MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "json": "application/json", "html": "text/html", "csv": "text/csv", "zip": "application/zip", "mp3": "audio/mpeg", "mp4": "video/mp4", "wav": "audio/wav"}
 
 
@@ -27,9 +31,9 @@ def guess_mime(name: F.Column) -> F.Column:
     return F.try_element_at(table, F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)))
 
 
-def write_atomic(path: str | Path, data: bytes) -> None:
-    """Whole or not at all: a temporary file beside it is renamed."""
-    _write_pieces(path, (data,))
+def write_atomic(path: str | Path, data: bytes, *, synced: bool = True) -> None:
+    """Whole or not at all: a temporary file beside it is renamed. What can be made again needs no sync."""
+    _write_pieces(path, (data,), synced)
 
 
 def write_lines(path: str | Path, lines: Iterable[str]) -> None:
@@ -37,7 +41,7 @@ def write_lines(path: str | Path, lines: Iterable[str]) -> None:
     _write_pieces(path, (line.encode() + b"\n" for line in lines))
 
 
-def _write_pieces(path: str | Path, pieces: Iterable[bytes]) -> None:
+def _write_pieces(path: str | Path, pieces: Iterable[bytes], synced: bool = True) -> None:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_name(f".{path.name}.{uuid.uuid4().hex}.part")
@@ -46,7 +50,8 @@ def _write_pieces(path: str | Path, pieces: Iterable[bytes]) -> None:
             for data in pieces:
                 f.write(data)
             f.flush()
-            os.fsync(f.fileno())
+            if synced:
+                os.fsync(f.fileno())
         os.replace(part, path)
     finally:
         part.unlink(missing_ok=True)
@@ -147,19 +152,65 @@ def read_shards(spark, folder: str, schema) -> DataFrame:
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl.zst").json(folder)
 
 
+def spread(rows: DataFrame, key: str, many: int, size: int) -> DataFrame:
+    """rows by key in as many tasks as that many files, of that size in all, are worth."""
+    least = min(many, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, least, -(-many // TASK_FILES), -(-size // TASK_BYTES)), key)
+
+
+def write_many(blobs: list[tuple[Path, bytes]]) -> None:
+    """Files that are each there whole or not at all: all are written beside their places and synced at once, then renamed."""
+    parts: list[tuple[Path, Path]] = []
+    try:
+        for path, data in blobs:
+            path.parent.mkdir(parents=True, exist_ok=True)
+            part = path.with_name(f".{path.name}.{uuid.uuid4().hex}.part")
+            parts.append((part, path))
+            part.write_bytes(data)
+        if parts:
+            _sync(parts[0][1].parent)
+        for part, path in parts:
+            os.replace(part, path)
+    except BaseException:
+        for part, _ in parts:
+            part.unlink(missing_ok=True)
+        raise
+
+
+def _sync(folder: Path) -> None:
+    """What was written to the folder's file system is on its disk afterwards."""
+    fd = os.open(folder, os.O_RDONLY)
+    try:
+        if ctypes.CDLL(None, use_errno=True).syncfs(fd):
+            raise OSError(ctypes.get_errno(), f"{folder} can't be synced")
+    except AttributeError:  # a system without it
+        os.sync()
+    finally:
+        os.close(fd)
+
+
+def _artifact(folder: str, sha: str) -> Path:
+    return Path(folder, "sha256", sha[:2], sha)
+
+
 def store_artifacts(df: DataFrame, folder: str, *, most: int = 512 << 20) -> DataFrame:
     """Distinct blobs of df(data binary) as sha256/aa/<hex>; gives (sha256, size, copied). Larger ones keep their digest only."""
     blobs = df.where("data is not null").select(F.sha2("data", 256).alias("sha256"), "data").dropDuplicates(["sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for sha, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows, new, size = [], [], 0
+            for k in range(b.num_rows):
+                sha, data = b.column(0)[k].as_py(), b.column(1)[k].as_py()
                 copied = len(data) <= most
-                path = Path(folder, "sha256", sha[:2], sha)
-                if copied and not path.exists():
-                    write_atomic(path, data)
+                if copied and not (path := _artifact(folder, sha)).exists():
+                    new.append((path, data))
+                    size += len(data)
                 rows.append((sha, len(data), copied))
+                if size >= SYNC_BYTES or len(new) >= SYNC_FILES:
+                    write_many(new)
+                    new, size = [], 0
+            write_many(new)
             if rows:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.int64()), pa.array(c[2])], names=["sha256", "size", "copied"])
@@ -167,6 +218,45 @@ def store_artifacts(df: DataFrame, folder: str, *, most: int = 512 << 20) -> Dat
     return blobs.mapInArrow(run, "sha256 string, size long, copied boolean")
 
 
+def read_artifacts(wanted: DataFrame, folder: str) -> DataFrame:
+    """(sha256, data) of those of wanted(sha256, size) that are stored. Tasks open them by name, many each."""
+    of = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["sha256", "data"])
+        out, size = [], 0
+        for b in batches:
+            for sha in b.column(0).to_pylist():
+                with contextlib.suppress(FileNotFoundError):
+                    data = _artifact(folder, sha).read_bytes()
+                    out.append((sha, data))
+                    size += len(data)
+                if size >= TASK_BYTES:
+                    yield give(out)
+                    out, size = [], 0
+        yield give(out)
+
+    # spread before they are made distinct: the other way round the tasks of the first shuffle stay, which follow the bytes of names
+    return spread(wanted.select("sha256"), "sha256", of.n, of.size).distinct().mapInArrow(run, "sha256 string, data binary")
+
+
+def stored_artifacts(spark, folder: str) -> DataFrame:
+    """(name, sha256, size) of all artifacts that are there, with the digest of what they hold; a task lists and reads whole folders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                own = Path(folder, "sha256", f"{k:02x}")
+                rows = []
+                for path in sorted(own.iterdir()) if own.is_dir() else ():
+                    if not path.name.startswith("."):
+                        with open(path, "rb") as f:
+                            rows.append((path.name, hashlib.file_digest(f, "sha256").hexdigest(), path.stat().st_size))
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["name", "sha256", "size"])
+
+    return spark.range(0, 256, 1, 256).mapInArrow(run, "name string, sha256 string, size long")
+
+
 SKIPPED = ("SHA256SUMS", "index/", ".staging/")
 
 

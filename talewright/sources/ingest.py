@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from urllib.parse import quote
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +13,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.utils import AnalysisException
 
 from ..config import Limits
 from ..functions.ids import conversation_key, event_identity, id_of
 from ..functions.parts import MAX_INLINE, PART, content_fingerprint, utf8_prefix
 from ..functions.redact import canonical_json, scrub, scrub_json
+from ..sinks import files
 from . import archives
 
+#: Records, and bytes of their texts, in a batch that a task gives back.
+BATCH_RECORDS, BATCH_BYTES = 2000, 8 << 20
 SKIP_DIRS = {".git", "node_modules", "__pycache__", ".venv", "target", "cache", "caches"}
 
 _S, _L = T.StringType(), T.LongType()
@@ -121,13 +123,15 @@ def _redact(parts: list[dict], keep: bool) -> tuple[list[dict], list[dict]]:
 
 
 def drafts(files: DataFrame, *, only: str | None = None, keep_secrets: bool = False) -> DataFrame:
-    """A row for each record of files(path, content): event, skipped or failed; a file that no parser takes is one skipped row.
+    """A row for each record of files(path, content), or of files(path) on disk: event, skipped or failed; a file that no parser takes is one skipped row.
 
-    A file is read by one task, as its records depend on each other; archives' members are files of their own.
+    A file is read by one task, as its records depend on each other; archives' members are files of their own. A task holds
+    one file at a time and the records of BATCH_RECORDS or BATCH_BYTES.
     """
     from . import registry
 
     names = [f.name for f in PART.fields]
+    given = "content" in files.columns
 
     def of_file(chain: tuple[str, ...], path: str, raw: bytes) -> Iterator[dict]:
         base = {"source_path": path, "chain": "/".join(chain)}
@@ -148,36 +152,42 @@ def drafts(files: DataFrame, *, only: str | None = None, keep_secrets: bool = Fa
         except Exception as e:  # what came before a failure stays
             yield base | {"outcome": "failed", "error": f"{type(e).__name__}: {e}", "record": -1, "place": place + 1}
 
+    def of_path(path: str, raw: bytes) -> Iterator[dict]:
+        try:
+            for m in archives.members(path, raw):
+                if m.data is None:
+                    yield {"source_path": m.path, "chain": "/".join(m.chain), "file_path": path, "outcome": "failed", "error": m.error, "record": -1, "place": 0}
+                    continue
+                for d in of_file(m.chain, m.path, m.data):
+                    yield d | {"file_path": path}
+        except Exception as e:
+            yield {"source_path": path, "chain": "", "file_path": path, "outcome": "failed", "error": f"{type(e).__name__}: {e}", "record": -1, "place": 0}
+
     arrow = to_arrow_schema(DRAFT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        size = 0
         for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out: list[dict] = []
-                try:
-                    for m in archives.members(path, raw):
-                        if m.data is None:
-                            out.append({"source_path": m.path, "chain": "/".join(m.chain), "file_path": path, "outcome": "failed", "error": m.error, "record": -1, "place": 0})
-                            continue
-                        for d in of_file(m.chain, m.path, m.data):
-                            out.append(d | {"file_path": path})
-                            if len(out) >= 2000:
-                                yield pa.RecordBatch.from_pylist([{n: x.get(n) for n in arrow.names} for x in out], schema=arrow)
-                                out = []
-                except Exception as e:
-                    out.append({"source_path": path, "chain": "", "file_path": path, "outcome": "failed", "error": f"{type(e).__name__}: {e}", "record": -1, "place": 0})
-                if out:
-                    yield pa.RecordBatch.from_pylist([{n: x.get(n) for n in arrow.names} for x in out], schema=arrow)
-
-    return files.select("path", "content").mapInArrow(run, DRAFT)
+            for k in range(batch.num_rows):
+                path = batch.column(0)[k].as_py()
+                raw = batch.column(1)[k].as_py() if given else Path(path).read_bytes()
+                for d in of_path(path, raw):
+                    out.append(d)
+                    size += sum(len(v) for c in d.get("content") or () for v in c.values() if isinstance(v, str))
+                    if len(out) >= BATCH_RECORDS or size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return files.select("path", *["content"] * given).mapInArrow(run, DRAFT)
 
 
 def read_listed(listed: DataFrame, **options: object) -> DataFrame:
-    """drafts() of the files of a listing."""
-    spark = listed.sparkSession
-    paths = [r.path for r in listed.select("path").toLocalIterator()]
-    files = spark.read.format("binaryFile").load(["file://" + quote(p) for p in paths]) if paths else spark.createDataFrame([], "path string, content binary")
-    return drafts(files.select(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("path"), "content"), **options)
+    """drafts() of the files of a listing. Tasks open the files themselves, many small ones each; the driver sees their number and size only."""
+    of = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return drafts(files.spread(listed.select("path"), "path", of.n, of.size), **options)
 
 
 def read(spark: SparkSession, roots: list[str], **options: object) -> DataFrame:
@@ -205,14 +215,11 @@ def spilled(draft: DataFrame, *, max_inline: int = MAX_INLINE) -> DataFrame:
 
 def with_whole_texts(events: DataFrame, folder: str) -> DataFrame:
     """events with shortened texts and outputs put back, read from the artifacts in `folder`."""
-    long = F.filter("content", lambda p: p["truncation"].isNotNull())
-    wanted = events.select("event_id", F.explode(F.transform(long, lambda p: p["truncation"]["full_sha256"])).alias("sha256"))
-    spark = events.sparkSession
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{folder}/sha256")
-    except AnalysisException:
+    if not os.path.isdir(f"{folder}/sha256"):
         return events
-    blobs = found.select(F.regexp_extract("path", "([0-9a-f]{64})$", 1).alias("sha256"), F.decode("content", "UTF-8").alias("whole"))
+    long = F.filter("content", lambda p: p["truncation"].isNotNull())
+    wanted = events.select("event_id", F.explode(F.transform(long, lambda p: p["truncation"])).alias("t")).select("event_id", F.col("t.full_sha256").alias("sha256"), F.col("t.full_bytes").alias("size"))
+    blobs = files.read_artifacts(wanted, folder).select("sha256", F.decode("data", "UTF-8").alias("whole"))
     by = wanted.join(blobs, "sha256").groupBy("event_id").agg(F.map_from_entries(F.collect_set(F.struct("sha256", "whole"))).alias("__whole"))
 
     def put_back(p: F.Column) -> F.Column:

@@ -167,3 +167,30 @@ def test_every_failure_is_listed(spark, tmp_path):
     assert text.count("\n| src_") == 501 and "The first" not in text
     files.write_lines(tmp_path / "errors.md", archive.report_lines()["errors.md"])
     assert (tmp_path / "errors.md").read_text() == text
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(200):
+        (tmp_path / f"src/d{k}").mkdir(parents=True)
+        (tmp_path / f"src/d{k}/a b+%41.jsonl").write_bytes(session([says(f"text {k}")]))
+    read = ingest.read(spark, [str(tmp_path / "src")])
+    assert read.rdd.getNumPartitions() == 4  # one for each core here, not by a cost for opening each
+    assert {r.source_path for r in read.collect()} == {str(tmp_path / f"src/d{k}/a b+%41.jsonl") for k in range(200)}
+    blobs = spark.createDataFrame([(bytearray(f"blob {k}".encode()),) for k in range(200)], "data binary")
+    stored = files.store_artifacts(blobs, str(tmp_path / "store")).collect()
+    (tmp_path / "store/sha256" / stored[0].sha256[:2] / stored[0].sha256).unlink()
+    found = files.read_artifacts(spark.createDataFrame(stored), str(tmp_path / "store"))
+    assert found.rdd.getNumPartitions() == 4 and {r.sha256 for r in found.collect()} == {r.sha256 for r in stored[1:]}
+    there = files.stored_artifacts(spark, str(tmp_path / "store")).collect()
+    assert sorted((r.name, r.sha256, r.size) for r in there) == sorted((r.sha256, r.sha256, r.size) for r in stored[1:])
+
+
+def test_many_files_are_synced_once(tmp_path, monkeypatch):
+    synced = []
+    monkeypatch.setattr(files, "_sync", lambda folder: synced.append(sorted(p.name.endswith(".part") for p in tmp_path.rglob("*") if p.is_file())))
+    files.write_many([(tmp_path / f"d{k}/a", f"text {k}".encode()) for k in range(5)])
+    assert synced == [[True] * 5] and [(tmp_path / f"d{k}/a").read_text() for k in range(5)] == [f"text {k}" for k in range(5)]
+    (tmp_path / "e").mkdir()
+    with pytest.raises(OSError):
+        files.write_many([(tmp_path / "e/x", b"1"), (tmp_path / "d0/a/y", b"2")])
+    assert list((tmp_path / "e").iterdir()) == []
