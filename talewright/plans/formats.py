@@ -5,9 +5,7 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import json
-import os
 import sqlite3
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,15 +37,14 @@ def _block(text: str) -> list[dict]:
 
 def _database(script: list[tuple[str, list[tuple]]]) -> bytes:
     """The bytes of a database made by statements, each with its rows."""
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "db")
-        con = sqlite3.connect(path)
+    con = sqlite3.connect(":memory:")
+    try:
         for sql, rows in script:
             con.executemany(sql, rows) if rows else con.execute(sql)
         con.commit()
+        return con.serialize()
+    finally:
         con.close()
-        with open(path, "rb") as f:
-            return f.read()
 
 
 def claude_code(c: int, turns: list[Turn]) -> tuple[str, bytes]:

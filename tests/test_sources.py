@@ -6,6 +6,7 @@ import io
 import json
 import sqlite3
 import tarfile
+import tempfile
 import zipfile
 
 import pytest
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from talewright.archive import Archive
+from talewright.plans import formats
 from talewright.sinks import files
 from talewright.sources import archives, drafts, exports, ingest, lines, registry, sessions, stores
 
@@ -279,3 +281,31 @@ def test_local_stores(tmp_path):
     db = str(home / ".config/Claude/db")
     assert L.is_leveldb(db) and L.leveldb_inventory(db)["origins"] == ["https://claude.ai"]
     assert L.glob_matches("a/**/*.json", "a/x/y.json") and L.glob_matches("a/**/*.json", "a/y.json") and not L.glob_matches("a/*.json", "a/x/y.json")
+
+
+def test_databases_need_no_files(monkeypatch):
+    turns = [(0, "user", "a"), (1, "assistant", "b")]
+    monkeypatch.setattr(tempfile, "TemporaryDirectory", None)
+    for name in ("opencode", "hermes"):
+        path, data = formats.FORMATS[name](7, turns)
+        assert [d["content"][0]["text"] for d in registry.BY_ID[name].parse(path, data) if d["outcome"] == "event"] == ["a", "b"]
+
+
+def test_a_database_with_a_log_is_opened_too(tmp_path):
+    con = sqlite3.connect(tmp_path / "db")
+    con.execute("PRAGMA journal_mode = wal")
+    con.execute("CREATE TABLE t(a)")
+    con.execute("INSERT INTO t VALUES (1)")
+    con.commit()
+    db = stores.Database((tmp_path / "db").read_bytes(), (tmp_path / "db-wal").read_bytes())
+    con.close()
+    assert [r["a"] for r in db.rows("SELECT a FROM t")] == [1]
+    db.close()
+    db = stores.Database((tmp_path / "db").read_bytes())  # the log is in the file, which says still that it had one
+    assert db.folder and db.tables() == {"t"}
+    db.close()
+
+
+def test_conversations_are_spread_over_tasks(spark, sf):
+    made = formats.written(spark, sf, "generic_json")
+    assert made.rdd.getNumPartitions() == 4 and made.count() == 20
