@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from talewright.functions import ids, parts, paths, redact, times
+from talewright.functions import blake3, ids, parts, paths, redact, times
 from talewright.functions.blake3 import digests
 
 
@@ -97,3 +97,12 @@ def test_paths(spark):
     remotes = {"git@Example.com:Own/Repo.git": "example.com/own/repo", "https://user:pw@example.com/own/repo/": "example.com/own/repo", "ssh://git@example.com:22/own/repo.git": "example.com/own/repo"}
     df = spark.createDataFrame([(k,) for k in remotes], "p string")
     assert [r[0] for r in df.select(paths.normalize_remote(F.col("p"))).collect()] == list(remotes.values())
+
+
+def test_digests_are_made_in_bounded_pieces(monkeypatch):
+    texts = [bytes([k % 251]) * (k * 37 % 5000) for k in range(60)]
+    want = [blake3.digests([t])[0] for t in texts]
+    held, whole = [], blake3._digests
+    monkeypatch.setattr(blake3, "LANES", 8)
+    monkeypatch.setattr(blake3, "_digests", lambda xs: held.append(sum(max(1, -(-len(x) // 1024)) for x in xs)) or whole(xs))
+    assert blake3.digests(texts) == want and blake3.digests([]) == [] and max(held) < 8 + 5
