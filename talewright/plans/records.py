@@ -80,7 +80,7 @@ LIMIT = 4096
 
 def truncate_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents imported with LIMIT bytes a text: what stays inline, and the bytes of the artifact that holds the whole."""
-    from ..sinks.files import store_artifacts
+    from ..sinks.files import store_artifacts, stored_artifacts
     from ..sources import ingest
 
     docs = table(spark, sf_dir, "documents")
@@ -89,10 +89,9 @@ def truncate_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = cut(ingest.drafts(files, keep_secrets=True), "drafts")
 
     def build(folder: str) -> DataFrame:
-        stored = store_artifacts(ingest.spilled(drafts, max_inline=LIMIT).select(F.encode("text", "UTF-8").alias("data")), f"{ingest.local(folder)}/artifacts")
-        stored.agg(F.sum("size")).collect()
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/artifacts")
-        return found.select(F.regexp_extract("path", "([0-9a-f]{64})$", 1).alias("name"), F.sha2("content", 256).alias("sha"), F.col("length").alias("stored_bytes"))
+        where = f"{ingest.local(folder)}/artifacts"
+        store_artifacts(ingest.spilled(drafts, max_inline=LIMIT).select(F.encode("text", "UTF-8").alias("data")), where).agg(F.sum("size")).collect()
+        return stored_artifacts(spark, where).select("name", F.col("sha256").alias("sha"), F.col("size").alias("stored_bytes"))
 
     blobs = kept(spark, ("spill", sf_dir), build)
     part = F.get("content", F.lit(0))
