@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,6 +18,8 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 K1, B = 1.2, 0.75
 #: Tokens of a bucket of terms, and the most buckets; a term that is in very many texts is spread over SALTS files.
 BUCKET_TOKENS, MOST_BUCKETS, SALTS = 50_000_000, 4096, 16
+#: Tokens that a task writes, and those that are grouped at a time before.
+TASK_TOKENS, PIECE_TOKENS = 2_000_000, 1 << 20
 
 
 def fold(text: str) -> str:
@@ -37,6 +43,38 @@ def postings(docs: DataFrame, *, id_col: str = "event_id", text_col: str = "text
     return docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col), folded)).alias("pos", "term"))
 
 
+def places(tokened: DataFrame) -> DataFrame:
+    """(id, term, places) of (id, tokens): a row for each different token of a text, without a shuffle. Texts of one id are taken together.
+
+    Arrow batches, as grouping inside of a row has no built-in that isn't quadratic; PIECE_TOKENS are sorted at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lists = b.column(0), b.column(1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + PIECE_TOKENS, side="right")))
+                sizes = np.diff(ends[at:to], prepend=before)
+                flat = lists.slice(at, to - at).flatten().dictionary_encode()
+                row, code = np.repeat(np.arange(to - at), sizes), flat.indices.to_numpy(zero_copy_only=False)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                key = row * max(1, len(flat.dictionary)) + code
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                own = order[first]
+                found = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(pos[order], pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at).take(pa.array(row[own])), flat.dictionary.take(pa.array(code[own])), found], names=["id", "term", "places"])
+                at = to
+
+    each = tokened.select("id", "tokens").mapInArrow(run, f"id {tokened.schema['id'].dataType.simpleString()}, term string, places array<int>")
+    if tokened.groupBy("id").count().where("count > 1").isEmpty():
+        return each
+    return each.groupBy("id", "term").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+
 def bucket_of(term: F.Column, buckets: int) -> F.Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -55,9 +93,9 @@ def write_index(docs: DataFrame, folder: str, *, id_col: str = "event_id", text_
     whole.coalesce(1).write.mode("overwrite").parquet(f"{folder}/whole")
     total = docs.sparkSession.read.parquet(f"{folder}/whole").first()
     buckets = max(1, min(MOST_BUCKETS, total.tokens // BUCKET_TOKENS))
-    each = made.select("id", F.posexplode("tokens").alias("pos", "term")).groupBy("id", "term").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    each = each.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    spread = each.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))) if buckets > 1 else each
+    each = places(made).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    # one shuffle, to tasks whose rows are sorted in memory
+    spread = each.repartition(max(1, -(-total.tokens // TASK_TOKENS)), "bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     spread.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     return total.n
 

@@ -89,3 +89,23 @@ def test_ledger_views(spark):
     listing = spark.createDataFrame([("a", "f1", "p", "1"), ("b", "f1", "p", "1")], "state_key string, fingerprint string, parser string, version string")
     state = spark.createDataFrame([("a", "f1", "p", "1", True, 1), ("b", "f0", "p", "1", True, 1)], "state_key string, fingerprint string, parser string, version string, complete boolean, run_ord int")
     assert [r.state_key for r in ledger.unfinished(listing, state).collect()] == ["b"]
+
+
+def test_places_are_made_without_a_shuffle(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, [rng.choice("abcdefgé") for _ in range(rng.randint(0, 30))]) for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    want = {(i, t): [k for k, x in enumerate(ts) if x == t] for i, ts in rows for t in set(ts)}
+    made = search.places(df)
+    assert {(r.id, r.term): r.places for r in made.collect()} == want and made.count() == len(want)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    twice = search.places(df.unionByName(df.where("id < 3"))).collect()
+    assert {(r.id, r.term): r.places for r in twice} == {k: sorted(v * (1 + (k[0] < 3))) for k, v in want.items()} and len(twice) == len(want)
+
+
+def test_postings_are_written_by_tokens(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"one two {k}") for k in range(40)], "event_id long, text string")
+    monkeypatch.setattr(search, "TASK_TOKENS", 30)
+    search.write_index(docs, str(tmp_path / "index"))
+    assert len(list((tmp_path / "index/postings").rglob("*.parquet"))) == 4  # of 120 tokens, in one bucket
+    assert sorted(r.id for r in search.Index(spark, str(tmp_path / "index")).match("two").collect()) == list(range(40))
