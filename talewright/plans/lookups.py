@@ -69,7 +69,9 @@ def search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postings_unstored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings straight from the texts, counted by term; the stored ones are the same."""
     index = _index(spark, sf_dir)
-    fresh = search.postings(table(spark, sf_dir, "documents"), id_col="doc_id", folded=False).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("texts"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), search.tokens(F.col("text"), False).alias("tokens"))
+    # a row of places for each term of a text: added up before the shuffle
+    fresh = search.places(docs).groupBy("term").agg(F.sum(F.size("places")).alias("n"), F.count(F.lit(1)).alias("texts"))
     stored = index.by_term.groupBy("term").agg(F.sum(F.size("places")).alias("stored"))
     return fresh.join(stored, "term", "left").select("term", "n", "texts", "stored")
 
