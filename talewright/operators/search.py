@@ -16,9 +16,9 @@ from pyspark.sql.types import StringType
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 K1, B = 1.2, 0.75
-#: Tokens of a bucket of terms, and the most buckets; a term that is in very many texts is spread over SALTS files.
-BUCKET_TOKENS, MOST_BUCKETS, SALTS = 50_000_000, 4096, 16
-#: Tokens that a task writes, and those that are grouped at a time before.
+#: Tokens of a bucket of terms, and the most buckets.
+BUCKET_TOKENS, MOST_BUCKETS = 50_000_000, 4096
+#: Tokens that a task writes, as a file of its bucket, and those that are grouped at a time before.
 TASK_TOKENS, PIECE_TOKENS = 2_000_000, 1 << 20
 
 
@@ -94,8 +94,9 @@ def write_index(docs: DataFrame, folder: str, *, id_col: str = "event_id", text_
     total = docs.sparkSession.read.parquet(f"{folder}/whole").first()
     buckets = max(1, min(MOST_BUCKETS, total.tokens // BUCKET_TOKENS))
     each = places(made).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    # one shuffle, to tasks whose rows are sorted in memory
-    spread = each.repartition(max(1, -(-total.tokens // TASK_TOKENS)), "bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    # one shuffle, to equal tasks whose rows are sorted in memory; a bucket's texts are parted among its own
+    own = max(1, -(-total.tokens // (buckets * TASK_TOKENS)))
+    spread = each.repartitionById(buckets * own, (F.col("bucket") * own + F.pmod(F.xxhash64("id"), F.lit(own))).cast("int"))
     spread.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     return total.n
 
